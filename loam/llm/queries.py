@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP3_SQL, op3_chat_format
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .language_id import op10_language_id
 from .license_scan import OP8_SQL, op8_license_scan
+from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
     "op8_license_scan": op8_license_scan,
@@ -20,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op8_license_scan": OP8_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_license_scan": OP8_SQL}
