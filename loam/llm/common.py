@@ -53,3 +53,32 @@ def words(text: Column) -> Column:
 def text_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share a doc_id but not the text."""
     return F.xxhash64(doc_id, text)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges(a, b): the smallest node of each connected component.
+
+    Rounds of large-star and small-star: every node hands its neighbours over to the smallest one it
+    sees. Each round is two grouped minima and two joins on disk-backed tables; stars only are left when
+    a round changes nothing.
+    """
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+
+    def star(pairs: DataFrame) -> DataFrame:
+        """Of (centre, other): every other node, and the centre, linked to the smallest node among them."""
+        lowest = pairs.groupBy("centre").agg(F.min(F.least("centre", "other")).alias("low"))
+        return pairs.join(lowest, "centre")
+
+    seal = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = seal(edges)
+    while before[0]:
+        both = edges.select(F.col("a").alias("centre"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("centre"), F.col("a").alias("other")))
+        large = star(both).filter("other > centre").select(F.col("other").alias("a"), F.col("low").alias("b")).distinct()
+        small = star(large.select(F.col("a").alias("centre"), F.col("b").alias("other")))
+        merged = small.select(F.col("centre").alias("a"), F.col("low").alias("b")).unionByName(small.select(F.col("other").alias("a"), F.col("low").alias("b")))
+        edges = stored(merged.filter("a <> b").distinct(), "edges")
+        after = seal(edges)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

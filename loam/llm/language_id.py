@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each learned language has a raw-content zstandard dictionary of sample text. A text belongs to the
-language whose dictionary compresses it to the fewest bytes. The score is the margin,
+Each learned language has a raw-content zstandard dictionary of sample text, in lower case. A text in
+lower case belongs to the language whose dictionary compresses it to the fewest bytes. The score is the margin,
 1 - smallest / second smallest (0 to 1); a prediction with a margin under `min_margin` is marked
 rejected.
 
@@ -25,7 +25,7 @@ from .common import table
 DICTIONARY_CHARS = 160_000
 SLICE_CHARS = 2_000
 MIN_MARGIN = 0.01
-LEVEL = 3
+LEVEL = 9
 
 
 def train_dictionaries(labelled: DataFrame, dictionary_chars: int = DICTIONARY_CHARS, slice_chars: int = SLICE_CHARS) -> dict[str, bytes]:
@@ -42,7 +42,7 @@ def train_dictionaries(labelled: DataFrame, dictionary_chars: int = DICTIONARY_C
     rows = (
         usable.join(sizes, "lang")
         .filter(draw < F.lit(1.5 * wanted) / F.col("slices"))
-        .select("lang", draw.alias("draw"), F.substring("text", middle, F.lit(slice_chars)).alias("piece"))
+        .select("lang", draw.alias("draw"), F.lower(F.substring("text", middle, F.lit(slice_chars))).alias("piece"))
         .collect()
     )
     parts: dict[str, list[str]] = {}
@@ -54,7 +54,7 @@ def train_dictionaries(labelled: DataFrame, dictionary_chars: int = DICTIONARY_C
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Columns of `keep`, lang_pred, score and rejected for each row of docs(text, *keep)."""
     names = list(dictionaries)
-    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    source = docs.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 Tokens (runs of letters, of digits, of other visible characters; case kept) fall into a fixed number of
 hash buckets. Every bucket has a sparse random index vector; its word vector is the sum of the index
 vectors of its neighbours within `REACH` tokens over all documents, scaled to length 1. A document's
-features are the mean word vector and the mean index vector of its tokens. A two-layer numpy network,
+features are the mean word vector and the mean index vector of its tokens, and the shares of tokens equal
+to the one before and to the one before that. A two-layer numpy network,
 trained on a bounded random sample of labelled documents, gives a logit; a temperature fitted on a part
 of the sample kept out of training turns it into a calibrated probability.
 
@@ -118,14 +119,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(ids: np.ndarray, rows: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of each of n rows; zero for rows without tokens."""
+    """Mean vector and shares of repeated tokens of each of n rows; zero for rows without tokens."""
     out = np.zeros((n, vectors.shape[1]))
     for at in range(0, len(ids), CHUNK):
         part, of = ids[at : at + CHUNK], rows[at : at + CHUNK]
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         out[of[starts]] += np.add.reduceat(vectors[part], starts, axis=0)
-    counts = np.bincount(rows, minlength=n)[:, None]
-    return out / np.maximum(counts, 1)
+    counts = np.maximum(np.bincount(rows, minlength=n), 1)
+    repeats = [np.bincount(rows[lag:], (ids[lag:] == ids[:-lag]) & (rows[lag:] == rows[:-lag]), minlength=n) / counts for lag in (1, 2)]
+    return np.column_stack([out / counts[:, None], *repeats])
 
 
 def features(docs: DataFrame, keep: list[str], vectors: np.ndarray) -> DataFrame:

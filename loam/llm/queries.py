@@ -10,6 +10,7 @@ from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .language_id import op10_language_id
 from .license_scan import OP8_SQL, op8_license_scan
+from .near_dedup import op7_near_dedup
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .token_counts import op4_token_counts
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
+    "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,

@@ -23,6 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from .common import TOKENIZERS, table
@@ -148,7 +149,7 @@ def encode_batch(texts: list[str], path: str = MODEL, chars: int = 1 << 20) -> I
 
 def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     """Columns of `keep` and piece_ids of docs(text, *keep)."""
-    schema = docs.select(*keep).schema.add("piece_ids", "array<int>")
+    schema = docs.select(*keep).schema.add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
