@@ -13,6 +13,7 @@ from .license_scan import OP8_SQL, op8_license_scan
 from .near_dedup import op7_near_dedup
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
+from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
