@@ -11,6 +11,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .language_id import op10_language_id
 from .license_scan import OP8_SQL, op8_license_scan
 from .near_dedup import op7_near_dedup
+from .neighbours import op5_neighbours
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .suffix_dedup import op6_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
+    "op5_neighbours": op5_neighbours,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
