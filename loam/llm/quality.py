@@ -90,7 +90,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         places, signs = index_vectors()
         sums = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            ids, rows = _flat(batch.column("tokens"))
+            ids, rows = _flat(batch.column("_tokens"))
             for at in range(0, len(ids), CHUNK):
                 context_sums(ids, rows, at, places, signs, sums)
         yield from emit({b: part for b, part in enumerate(sums.astype(np.int64).reshape(-1, BLOCK * DIM)) if part.any()})
@@ -108,7 +108,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield from emit(blocks)
 
     schema = "block int, sums binary"
-    parts = docs.select(tokens(F.col("text")).alias("tokens")).mapInArrow(partial, schema)
+    parts = docs.select(tokens(F.col("text")).alias("_tokens")).mapInArrow(partial, schema)
     some = parts.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(16))).repartition("block", "salt").select("block", "sums").mapInArrow(add, schema)
     whole = some.repartition("block").mapInArrow(add, schema).collect()
     vectors = np.zeros((BUCKETS, DIM))
@@ -137,10 +137,10 @@ def features(docs: DataFrame, keep: list[str], vectors: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.hstack([vectors, dense_index_vectors()])
         for batch in batches:
-            found = pooled(*_flat(batch.column("tokens")), batch.num_rows, both).astype(np.float32)
+            found = pooled(*_flat(batch.column("_tokens")), batch.num_rows, both).astype(np.float32)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x.tobytes() for x in found], pa.binary())], schema.names)
 
-    return docs.select(*keep, tokens(F.col("text")).alias("tokens")).mapInArrow(run, schema)
+    return docs.select(*keep, tokens(F.col("text")).alias("_tokens")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -210,11 +210,11 @@ def score(docs: DataFrame, keep: list[str], vectors: np.ndarray, net: Network) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.hstack([vectors, dense_index_vectors()])
         for batch in batches:
-            found = pooled(*_flat(batch.column("tokens")), batch.num_rows, both)
+            found = pooled(*_flat(batch.column("_tokens")), batch.num_rows, both)
             scores = np.round(net.scores(found.astype(np.float32).astype(np.float64)), 6)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], schema.names)
 
-    return docs.select(*keep, tokens(F.col("text")).alias("tokens")).mapInArrow(run, schema)
+    return docs.select(*keep, tokens(F.col("text")).alias("_tokens")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,3 +227,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, net = train(docs, labels)
     scored = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out"], vectors, net)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that score under 0.5, trained on labels(doc_id, quality); columns unchanged."""
+    vectors, net = train(docs.select("doc_id", "text"), labels)
+    scored = score(docs.select(F.struct("*").alias("_row"), "text"), ["_row"], vectors, net)
+    return scored.filter("score >= 0.5").select("_row.*")

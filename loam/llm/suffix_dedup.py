@@ -317,16 +317,16 @@ def _at_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with the repeated spans of its texts in a column `spans`, null where there are none."""
-    keyed = docs.select("*", *row_keys(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(keyed.select(*KEYS, F.coalesce("text", F.lit("")).alias("text")))
+    """_row (all columns of docs) and the repeated spans of its text, null where there are none."""
+    keyed = docs.select(F.struct("*").alias("_row"), *row_keys(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))
+    spans = repeated_spans(keyed.select(*KEYS, "text"))
     listed = stored(spans.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    return keyed.join(listed, KEYS, "left").drop(*KEYS)
+    return keyed.select("_row", *KEYS).join(listed, KEYS, "left").select("_row", "spans")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text)."""
-    found = with_spans(docs.select("doc_id", "text")).select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("raw"), "spans")
+    found = with_spans(docs.select("doc_id", "text")).select("_row.doc_id", F.coalesce(F.encode("_row.text", "utf-8"), F.lit(b"")).alias("raw"), "spans")
     schema = found.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +355,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out.append(_kept(raw, runs).decode() if one.is_valid else None)
             yield pa.array(out, pa.string())
 
-    found = with_spans(docs)
-    cleaned = found.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.arrow_udf(cut, T.StringType())("text", "spans")))
+    row = F.col("_row").withField("text", F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(F.arrow_udf(cut, T.StringType())("_row.text", "spans")))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        row = row.withField("n_chars", F.length(row["text"]).cast(docs.schema["n_chars"].dataType))
+    return with_spans(docs).select(row.alias("_row")).select("_row.*")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
