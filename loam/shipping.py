@@ -21,6 +21,8 @@ def ship(spark: SparkSession) -> None:
         return
     staging = Path(tempfile.mkdtemp(prefix="loam-ship-"))
     shutil.copytree(ROOT / "loam", staging / "tree" / "loam", ignore=shutil.ignore_patterns("__pycache__"))
+    if (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", staging / "tree")
     context.addPyFile(shutil.make_archive(str(staging / "loam"), "zip", staging / "tree"))
     _shipped.add(context.applicationId)
 
