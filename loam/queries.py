@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.plans import retrieval, texts  # noqa: F401  (registers its queries)
+from loam.plans import analytics, retrieval, texts  # noqa: F401  (registers its queries)
 from loam.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
