@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.plans import analytics, answers, evaluate, ingest, retrieval, texts, turns  # noqa: F401  (registers its queries)
+from loam.plans import analytics, answers, crawl, evaluate, ingest, retrieval, texts, turns  # noqa: F401  (registers its queries)
 from loam.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
