@@ -4,7 +4,9 @@ The model file (a protobuf) is parsed here: pieces with scores and types, the tr
 byte fallback, the normaliser's flags and character map. From these a tokenizers pipeline is rebuilt:
 normaliser (precompiled character map, metaspace marker for spaces, dummy prefix), a Unigram model from
 the scores or a BPE model whose merges follow from them, byte fallback, and the decoder. Batches are
-encoded multithreaded by that library. `parity` compares with the reference implementation.
+encoded multithreaded by that library. Where no piece of the model crosses the start of a word, texts
+are cut there first, and a batch hands the library each different new segment once; the ids of known
+segments are remembered, up to a bound. `parity` compares with the reference implementation.
 
 Defined results: null texts count as empty; an empty text has no pieces and decodes to ''. Repeated rows
 are encoded one by one; extra columns are ignored; texts are encoded whole. The file must be at the same
@@ -14,6 +16,7 @@ path on every executor.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +33,10 @@ from .common import TOKENIZERS, table
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 SPACE = "▁"
+#: Segments whose ids a task remembers; forgotten all at once beyond that.
+REMEMBERED = 600_000
+#: Different words encoded as one text.
+JOINED = 512
 # Field numbers and enum values of the public SentencePiece model protobuf.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 UNIGRAM, BPE = 1, 2
@@ -112,15 +119,85 @@ def build(data: bytes) -> Tokenizer:
     # Where no piece has the marker behind another character, texts can be cut before each run of markers.
     if not any(SPACE in piece.lstrip(SPACE) for piece, _, kind in model.pieces if kind == NORMAL):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
-    undo = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+    undo = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(SPACE, " ")]
     tokenizer.decoder = decoders.Sequence([*undo, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else undo)
     return tokenizer
 
 
+def segmentable(model: Model) -> bool:
+    """Whether texts may be cut before each run of markers without changing their pieces."""
+    crossing = any(SPACE in piece.lstrip(SPACE) for piece, _, kind in model.pieces if kind == NORMAL)
+    return model.dummy_prefix and model.byte_fallback and not (model.squeeze or model.charsmap or crossing)
+
+
+class Encoder:
+    """Encodes batches of texts to piece ids as little-endian 32-bit numbers."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as file:
+            data = file.read()
+        model = Model(data)
+        self.tokenizer, self.segments = build(data), segmentable(model)
+        self.dummy = model.dummy_prefix
+        self.bytes = [bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode() for piece, _, kind in model.pieces]
+        self.opens = np.array([piece.startswith(SPACE) for piece, _, _ in model.pieces])
+        alone = next((i for i, p in enumerate(model.pieces) if p[0] == SPACE), None)
+        self.marker = {} if alone is None else {"": np.array([alone], "<i4").tobytes()}
+        self.known = dict(self.marker)
+        self.segments = self.segments and alone is not None
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for group in _slices(texts, 1 << 20):
+            found += [np.asarray(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+        return found
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Segments of a text, each without the marker that it starts with."""
+        if not text:
+            return []
+        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [x[1:] for x in re.findall(" +[^ ]+| +", " " + text.replace(SPACE, " "))]
+
+    def _learn(self, segments: list[str]) -> None:
+        """Remember the ids of segments. Plain words are encoded many in a text, whose pieces that start
+        with the marker say where each word begins; segments with several markers go one by one.
+        """
+        plain = [x for x in segments if x and x[0] != " "]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for words, raw in zip(groups, self._library([" ".join(words) for words in groups]), strict=True):
+            begins = (np.append(np.flatnonzero(self.opens[np.frombuffer(raw, "<i4")]), len(raw) // 4) * 4).tolist()
+            self.known.update((x, raw[a:b]) for x, a, b in zip(words, begins, begins[1:], strict=False))
+        odd = [x for x in segments if x and x[0] == " "]
+        self.known.update(zip(odd, self._library(odd), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.segments:
+            return self._library(texts)
+        cut = [self.cut(text) for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = dict(self.marker)
+        known = self.known
+        self._learn(list({x for parts in cut for x in parts}.difference(known)))
+        return [b"".join([known[x] for x in parts]) for parts in cut]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of piece ids: the pieces' bytes, joined; what is no UTF-8 then is left to the library."""
+        found: list[str] = []
+        for one in ids:
+            try:
+                text = b"".join([self.bytes[i] for i in one]).decode()
+                found.append(text[1:] if self.dummy and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                found.append(self.tokenizer.decode(one, skip_special_tokens=False))
+        return found
+
+
 @lru_cache(maxsize=1)
-def load(path: str) -> Tokenizer:
-    with open(path, "rb") as file:
-        return build(file.read())
+def load(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(maxsize=1)
@@ -141,19 +218,14 @@ def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield group
 
 
-def encode_batch(texts: list[str], path: str = MODEL, chars: int = 1 << 20) -> Iterator[list[int]]:
-    for group in _slices(texts, chars):
-        for encoded in load(path).encode_batch_fast(group, add_special_tokens=False):
-            yield encoded.ids
-
-
 def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     """Columns of `keep` and piece_ids of docs(text, *keep)."""
     schema = docs.select(*keep).schema.add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array(encode_batch(batch.column("_text").to_pylist(), path), pa.list_(pa.int32()))
+            groups = _slices(batch.column("_text").to_pylist(), 1 << 20)
+            ids = pa.array([np.frombuffer(x, "<i4") for group in groups for x in load(path).encode(group)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], schema.names)
 
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
@@ -165,7 +237,7 @@ def decode(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = load(path).decode_batch([x or [] for x in batch.column("piece_ids").to_pylist()], skip_special_tokens=False)
+            texts = load(path).decode([x or [] for x in batch.column("piece_ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], schema.names)
 
     return encoded.select(*keep, "piece_ids").mapInArrow(run, schema)
@@ -184,11 +256,12 @@ def encode_report(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             rows = []
             for group in _slices(batch.column("_text").to_pylist(), 1 << 20):
-                ids = [x.ids for x in ours.encode_batch_fast(group, add_special_tokens=False)]
-                decoded = ours.decode_batch(ids, skip_special_tokens=False)
+                packed = ours.encode(group)
+                ids = [np.frombuffer(x, "<i4").tolist() for x in packed]
+                decoded = ours.decode(ids)
                 wanted = theirs.encode(group, num_threads=1)
-                for text, mine, back, other in zip(group, ids, decoded, wanted, strict=True):
-                    rows.append((len(mine), hashlib.sha256(np.asarray(mine, "<i4").tobytes()).hexdigest(), back == text, mine == other and theirs.decode(mine) == back))
+                for text, raw, mine, back, other in zip(group, packed, ids, decoded, wanted, strict=True):
+                    rows.append((len(mine), hashlib.sha256(raw).hexdigest(), back == text, mine == other and theirs.decode(mine) == back))
             kinds = pa.int64(), pa.string(), pa.bool_(), pa.bool_()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], schema.names)
 
