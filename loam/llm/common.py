@@ -36,7 +36,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a stored df for broadcast when it has at most max_rows rows; else leave the join to Spark."""
+    """Mark df, stored or cheap to make again, for broadcast when it has at most max_rows rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
@@ -62,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     sees. Each round is two grouped minima and two joins on disk-backed tables; stars only are left when
     a round changes nothing.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
     def star(pairs: DataFrame) -> DataFrame:
         """Of (centre, other): every other node, and the centre, linked to the smallest node among them."""
@@ -82,3 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def lean_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes, besides the rows, of the batches that Spark hands to Python: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
