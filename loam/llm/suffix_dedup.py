@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, stored, table
+from .common import broadcast_if_small, lean_batches, stored, table
 from .decontaminate import row_keys
 from .near_dedup import mixed
 
@@ -44,7 +44,7 @@ GRAM = 100
 #: Suffixes of a context are bucketed by how far they start before the sample, in steps of so many bytes.
 STEP = 75
 #: Bytes that a task works on at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Contexts in a bucket beyond which its suffixes are spread by their hash.
 HOT = 4_096
 SMALL = 200_000
@@ -164,7 +164,7 @@ def bucket_rows(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     LENGTH - STEP + 1 bytes, the core.
     """
     listed = contexts.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "lead", "width", "n")).alias("contexts"))
-    keys = broadcast_if_small(stored(contexts.select(*KEYS).distinct(), "context-rows"), SMALL)
+    keys = broadcast_if_small(contexts.select(*KEYS).distinct(), SMALL)
     texts = docs.join(keys, KEYS, "left_semi").dropDuplicates(KEYS).select(*KEYS, F.encode("text", "utf-8").alias("raw"))
     names = ["core", "k1", "k2", "first", "n", "bytes"]
     kinds = [pa.int64()] * 5 + [pa.binary()]
@@ -269,6 +269,7 @@ def repeated_in_hot_buckets(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, start, stop): byte ranges of docs(k1, k2, text) that are covered by repeated strings."""
+    lean_batches(docs.sparkSession)
     sampled = stored(cover(docs), "cover")
     often = sampled.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
     repeated = stored(sampled.join(often, "gram", "left_semi"), "repeated-samples")
@@ -280,8 +281,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = stored(ranks.join(several, "gram", "left_semi"), "contexts")
     rows = stored(bucket_rows(docs, contexts), "buckets")
     sizes = rows.groupBy("core").agg(F.count("*").alias("size"))
-    hot = broadcast_if_small(stored(sizes.filter(F.col("size") > HOT).select("core"), "hot-cores"), SMALL)
-    shared = broadcast_if_small(stored(sizes.filter((F.col("size") > 1) & (F.col("size") <= HOT)).select("core"), "cores"), SMALL)
+    hot = broadcast_if_small(sizes.filter(F.col("size") > HOT).select("core"), SMALL)
+    shared = broadcast_if_small(sizes.filter((F.col("size") > 1) & (F.col("size") <= HOT)).select("core"), SMALL)
     partly = repeated_in_buckets(rows.join(shared, "core", "left_semi"))
     hotly = repeated_in_hot_buckets(rows.join(hot, "core", "left_semi"))
     return whole.unionByName(partly).unionByName(hotly)
