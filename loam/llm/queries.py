@@ -13,6 +13,7 @@ from .language_id import op10_language_id
 from .license_scan import OP8_SQL, op8_license_scan
 from .near_dedup import op7_near_dedup
 from .neighbours import op5_neighbours
+from .oracles import OP6_SQL, OP7_SQL
 from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .suffix_dedup import op6_suffix_dedup
@@ -32,6 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_license_scan": OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_chat_format": OP3_SQL,
+    "op6_suffix_dedup": OP6_SQL,
+    "op7_near_dedup": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
