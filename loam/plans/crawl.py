@@ -10,7 +10,7 @@ from loam.functions.chunk import chunk_documents
 from loam.functions.html import parse_pages
 from loam.operators import crawl as C
 from loam.plans.registry import query
-from loam.plans.texts import NORM_SQL, TITLE, TITLE_SQL, _sql_any
+from loam.plans.texts import NORM_SQL, TITLE_SQL, _sql_any, title
 from loam.sources.tables import table
 
 _LINKS_SQL = r"""found AS (SELECT url, trim(unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1))) AS href FROM pages),
@@ -73,7 +73,7 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when((i % 6).isin(1, 4), F.floor(i / 6)).otherwise(-i)
     return table(spark, sf_dir, "pages").select(
         i.alias("seq"), "url", F.floor(i / 2).cast("string").alias("canonical"), F.sha2(content.cast("string"), 256).alias("content_hash"), (i % 10 == 0).alias("in_manifest"),
-        T.is_error_title(TITLE).alias("is_error"), (F.length("html") < 1500).alias("is_thin"), (i % 9 == 0).alias("unclassifiable"),
+        T.is_error_title(title()).alias("is_error"), (F.length("html") < 1500).alias("is_thin"), (i % 9 == 0).alias("unclassifiable"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -98,7 +98,7 @@ def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(scored, ["query_id"], "sim", "vec_id", 20)
 
 
-def _rankings(spark: SparkSession, sf_dir: str, **filters: F.Column) -> tuple[DataFrame, DataFrame]:
+def _rankings(spark: SparkSession, sf_dir: str, **filters: Column) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
     lexical = R.top(R.bm25(docs.filter(R.passes(**filters)), _one_query(spark)), ["query_id"], "score", "chunk_id", R.CANDIDATES)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.plans.registry import query
-from loam.sources.tables import CORPUS_SQL, corpus, table
+from loam.sources.tables import table
 
 
 def _sql_list(words: list[str] | tuple[str, ...]) -> str:
@@ -30,7 +30,6 @@ CLEAN_SQL = (
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),"
     r" '\r\n?', chr(10), 'g'), '[ \t\x{{A0}}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' +([.,;:!?])', '\1', 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 )
-TITLE = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
 TITLE_SQL = r"regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
 NORM_SQL = f"""norm AS (SELECT page_id, url, rtrim(CASE WHEN q <> '' THEN path || '?' || q ELSE path END, '/') AS norm_url FROM (
   SELECT page_id, url, lower(regexp_replace(bare, '\\?.*$', '')) AS path,
@@ -49,6 +48,10 @@ GREETING_SQL = "(lower(trim({0})) IN (" + _sql_list(T.GREETINGS)[1:-1] + ") OR (
 REPLY_SQL = _sql_case([(_sql_any("lower(trim({0}))", tuple(p.replace("'", "''") for p in phrases)), f"'{kind}'") for kind, phrases in T.REPLY_PHRASES], "NULL")
 
 
+def title() -> Column:
+    return F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
+
+
 @query("c1_url_normalize", f"WITH {NORM_SQL} SELECT page_id, norm_url FROM norm")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.normalize_url(F.col("url")).alias("norm_url"))
@@ -65,7 +68,7 @@ def page_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.concat(F.lit("Text/HTML; charset="), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select(
         "page_id", T.is_login(F.col("url")).alias("is_login"), T.is_html(kind).alias("is_html"), T.has_skipped_extension(F.col("url")).alias("is_skipped"),
-        T.is_error_title(TITLE).alias("is_error_title"), (F.length("html") < 500).alias("is_thin"),
+        T.is_error_title(title()).alias("is_error_title"), (F.length("html") < 500).alias("is_thin"),
     )
 
 
@@ -80,7 +83,7 @@ def clean_hash_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t5_html_title", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", TITLE.alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", title().alias("title"))
 
 
 _TYPE_SQL = _sql_case(
@@ -93,7 +96,7 @@ _TYPE_SQL = _sql_case(
 
 @query("t9_document_type", f"SELECT page_id, {_TYPE_SQL} AS document_type FROM pages")
 def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.document_type(F.col("url"), TITLE, F.col("html")).alias("document_type"))
+    return table(spark, sf_dir, "pages").select("page_id", T.document_type(F.col("url"), title(), F.col("html")).alias("document_type"))
 
 
 _AUDIENCE_SQL = _sql_case(
