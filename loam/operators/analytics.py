@@ -31,7 +31,7 @@ def nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
     by_key = Window.partitionBy(key)
     ranked = rows.select(key, F.col(value).alias("v"), F.row_number().over(by_key.orderBy(value)).alias("place"))
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    joined = ranked.join(F.broadcast(sizes), ranked[key].eqNullSafe(sizes[key])).drop(sizes[key])
+    joined = ranked.join(sizes, ranked[key].eqNullSafe(sizes[key])).drop(sizes[key])
     at = lambda p: F.round(F.max(F.when(F.col("place") == F.least(F.col("n"), F.floor(F.col("n") * p) + 1), F.col("v"))), 6)
     return joined.groupBy(key).agg(F.round(F.avg("v"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.max("v"), 6).alias("max"))
 

@@ -56,7 +56,7 @@ def cascade(pages: DataFrame) -> DataFrame:
     and the open pages of its groups go. Unclassifiable pages are judged last; they never make duplicates.
     """
     early = F.when(F.col("in_manifest"), "already in manifest").when(F.col("is_error"), "error page").when(F.col("is_thin"), "thin content")
-    staged = pages.withColumn("reason", early).select("seq", "url", "canonical", "content_hash", "unclassifiable", "reason").persist()
+    staged = pages.withColumn("reason", early).select("seq", "url", "canonical", "content_hash", "unclassifiable", "reason")
     survivors = staged.filter("reason IS NULL")
     undecided = survivors.filter("NOT unclassifiable").select("seq", "url", "canonical", "content_hash").persist()
     accepted = undecided.limit(0)

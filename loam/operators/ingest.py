@@ -76,7 +76,7 @@ def remapped(docs: DataFrame, renames: DataFrame, dropped: str, default: str, cl
     Renamed topics (old, new) change; the dropped topic becomes the default and goes to review; documents
     under review take the classifier's topic (url, topic, confidence) and are approved if it is sure enough.
     """
-    moved = docs.join(F.broadcast(renames), F.col("topic") == F.col("old"), "left")
+    moved = docs.join(renames, F.col("topic") == F.col("old"), "left")
     topic = F.when(F.col("topic") == dropped, F.lit(default)).otherwise(F.coalesce("new", "topic"))
     status = F.when(F.col("topic") == dropped, F.lit("review")).otherwise(F.col("index_status"))
     staged = moved.select("url", topic.alias("topic"), status.alias("index_status")).join(classified.select("url", F.col("topic").alias("found"), "confidence"), "url", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import priority_multiplier, tokens
+from loam.operators.blocks import against
 
 # BM25 parameters, fusion constant, candidates a ranker, limits.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -68,11 +69,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every row of vectors(chunk_id, embedding) against a stated query set.
-
-    The set of queries is small and stated by the caller, so it goes to every task; the vectors stay.
-    """
-    pairs = vectors.filter(F.col("embedding").isNotNull()).crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("_query"))))
+    """(query_id, chunk_id, score) of every row of vectors(chunk_id, embedding) against a stated query set."""
+    asked = queries.select("query_id", F.col("embedding").alias("_query"))
+    pairs = against(vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding"), asked, "query_id")
     return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("_query")), 6).alias("score"))
 
 

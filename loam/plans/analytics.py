@@ -155,12 +155,12 @@ def union_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("index_status = 'approved'", "accepted").unionByName(part("index_status <> 'approved'", "rejected"))
 
 
-@query("j2_a18_document_texts", """WITH parts AS (SELECT doc_id, n, substr(text, CAST(n * 400 + 1 AS BIGINT), 400) AS part FROM (SELECT doc_id, text, unnest(range(3)) AS n FROM documents))
+@query("j2_a18_document_texts", """WITH parts AS (SELECT doc_id, n, substr(text, CAST(n * 400 + 1 AS BIGINT), 400) AS part FROM (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + 399) // 400))) AS n FROM documents))
 SELECT doc_id, substr(string_agg(part, chr(10) || chr(10) ORDER BY n), 1, 2000) AS joined, count(*) AS parts FROM parts GROUP BY doc_id""")
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 chunks of a document in order, A18 their texts joined by blank lines, cut to 2000 characters."""
     n = F.col("n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int")))).alias("n"))
     parts = docs.select("doc_id", "n", F.substring("text", n * 400 + 1, F.lit(400)).alias("part"))
     return A.joined_parts(parts, "doc_id", 2000)
 
