@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, lean_batches, table
 
 BUCKETS = 16_384
 DIM = 32
@@ -90,9 +90,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         places, signs = index_vectors()
         sums = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            ids, rows = _flat(batch.column("_tokens"))
-            for at in range(0, len(ids), CHUNK):
-                context_sums(ids, rows, at, places, signs, sums)
+            for part in _parts(batch.column("_tokens")):
+                ids, rows = _flat(part)
+                for at in range(0, len(ids), CHUNK):
+                    context_sums(ids, rows, at, places, signs, sums)
+        give_back()
         yield from emit({b: part for b, part in enumerate(sums.astype(np.int64).reshape(-1, BLOCK * DIM)) if part.any()})
 
     def emit(blocks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +109,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 blocks[block] = blocks[block] + values if block in blocks else values
         yield from emit(blocks)
 
+    lean_batches(docs.sparkSession)
     schema = "block int, sums binary"
     parts = docs.select(tokens(F.col("text")).alias("_tokens")).mapInArrow(partial, schema)
     some = parts.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(16))).repartition("block", "salt").select("block", "sums").mapInArrow(add, schema)
@@ -118,11 +121,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (vectors / np.where(lengths > 0, lengths, 1)).astype(np.float32)
 
 
+def _parts(column: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Slices of a list column with about CHUNK values each, so that work on one fits in little memory."""
+    groups = np.cumsum(np.asarray(column.value_lengths())) // CHUNK
+    edges = np.flatnonzero(np.diff(groups, prepend=-1, append=-1))
+    return (column.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False))
+
+
+def document_features(column: pa.ListArray, vectors: np.ndarray) -> np.ndarray:
+    """Features of each row of a list column of tokens."""
+    found = [pooled(*_flat(part), len(part), vectors).astype(np.float32) for part in _parts(column)]
+    return np.concatenate(found) if found else np.zeros((0, vectors.shape[1] + 2), np.float32)
+
+
 def pooled(ids: np.ndarray, rows: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
     """Mean vector and shares of repeated tokens of each of n rows; zero for rows without tokens."""
     out = np.zeros((n, vectors.shape[1]))
-    for at in range(0, len(ids), CHUNK):
-        part, of = ids[at : at + CHUNK], rows[at : at + CHUNK]
+    for at in range(0, len(ids), CHUNK // 8):
+        part, of = ids[at : at + CHUNK // 8], rows[at : at + CHUNK // 8]
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         out[of[starts]] += np.add.reduceat(vectors[part], starts, axis=0)
     counts = np.maximum(np.bincount(rows, minlength=n), 1)
@@ -137,8 +153,9 @@ def features(docs: DataFrame, keep: list[str], vectors: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.hstack([vectors, dense_index_vectors()])
         for batch in batches:
-            found = pooled(*_flat(batch.column("_tokens")), batch.num_rows, both).astype(np.float32)
+            found = document_features(batch.column("_tokens"), both)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x.tobytes() for x in found], pa.binary())], schema.names)
+        give_back()
 
     return docs.select(*keep, tokens(F.col("text")).alias("_tokens")).mapInArrow(run, schema)
 
@@ -199,22 +216,21 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     sample = truth.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(SAMPLE)
     rows = features(docs.join(F.broadcast(sample), "doc_id"), ["doc_id", "label"], vectors).select("features", "label", "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
-    x = np.array([np.frombuffer(bytes(r["features"]), np.float32) for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(bytes(r["features"]), np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM + 2)
     return vectors, fit(x, np.array([r["label"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, keep: list[str], vectors: np.ndarray, net: Network) -> DataFrame:
     """Columns of `keep` and score (6 decimals) of docs(text, *keep)."""
-    schema = docs.select(*keep).schema.add("score", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         both = np.hstack([vectors, dense_index_vectors()])
-        for batch in batches:
-            found = pooled(*_flat(batch.column("_tokens")), batch.num_rows, both)
-            scores = np.round(net.scores(found.astype(np.float32).astype(np.float64)), 6)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], schema.names)
+        for column in columns:
+            yield pa.array(np.round(net.scores(document_features(column, both).astype(np.float64)), 6), pa.float64())
+        give_back()
 
-    return docs.select(*keep, tokens(F.col("text")).alias("_tokens")).mapInArrow(run, schema)
+    lean_batches(docs.sparkSession)
+    return docs.select(*keep, F.arrow_udf(run, "double")(tokens(F.col("text"))).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
