@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks, as it is read several times. The lineage stays: what a lost
+    executor held is made again. Let go by release(), or by spark.catalog.clearCache(). Only for frames
+    near stored ones: plans of kept frames on kept frames grow with every level.
+    """
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+def release() -> None:
+    """Let go of all that is kept, once results that need it are written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark df, stored or cheap to make again, for broadcast when it has at most max_rows rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -87,3 +110,11 @@ def components(edges: DataFrame) -> DataFrame:
 def lean_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound the bytes, besides the rows, of the batches that Spark hands to Python: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def give_back() -> None:
+    """Return what a task freed to the system: Python workers outlive their tasks, and others need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)

@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, table, words
+from .common import broadcast_if_small, kept, stored, table, words
 
 WINDOW = 10
 #: Rows up to which a stored, benchmark-sized or match-sized table is broadcast; larger ones are shuffled.
@@ -54,9 +54,9 @@ def item_word_rows(benchmark: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, item_words: DataFrame) -> Index:
     """Store the postings of all benchmark terms in docs(doc_id, text), and a header a document."""
-    item_words = stored(item_words, "item-words")
+    item_words = kept(item_words)
     header = docs.sparkSession.range(1).select(F.lit(HEADER).alias("term"), F.lit(0).cast("long").alias("term_id"))
-    vocabulary = stored(item_words.select("term", "term_id").distinct().unionByName(header), "vocabulary")
+    vocabulary = item_words.select("term", "term_id").distinct().unionByName(header)
     split = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), words(F.col("text")).alias("ws"))
     listed = split.select("doc_id", "k1", "k2", F.size("ws").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(HEADER)), F.col("ws"))).alias("at", "term"))
     is_header = F.col("term") == HEADER
@@ -84,21 +84,21 @@ def anchors(index: Index, window: int) -> DataFrame:
 
 def phrase_matches(index: Index, window: int = WINDOW) -> DataFrame:
     """(k1, k2, item, start, stop): stretches of a document that are made of an item's windows."""
-    near = stored(anchors(index, window), "anchors")
+    near = kept(anchors(index, window))
     first = index.postings.join(broadcast_if_small(near, SMALL), F.col("term_id") == F.col("t1"))
     placed = first.select("k1", "k2", "item", (F.col("pos") - F.col("o1")).alias("diagonal"), "o2", "t2")
     lone = placed.filter(F.col("t2").isNull()).select("k1", "k2", "item", "diagonal")
     wanted = placed.filter(F.col("t2").isNotNull()).select(
         "k1", "k2", "item", "diagonal", (F.col("diagonal") + F.col("o2")).alias("pos"), F.col("t2").alias("term_id")
     )
-    second_terms = broadcast_if_small(stored(near.select(F.col("t2").alias("term_id")).distinct(), "second-terms"), SMALL)
+    second_terms = broadcast_if_small(near.select(F.col("t2").alias("term_id")).distinct(), SMALL)
     second = index.postings.join(second_terms, "term_id", "left_semi")
     both = second.join(wanted.hint("shuffle_hash"), ["k1", "k2", "pos", "term_id"]).select("k1", "k2", "item", "diagonal")
     places = stored(both.unionByName(lone).distinct(), "places")
 
     spread = places.join(broadcast_if_small(index.item_words, SMALL), "item")
     expected = spread.select("k1", "k2", "item", "diagonal", "n", "off", (F.col("diagonal") + F.col("off")).alias("pos"), "term_id").filter("pos >= 0")
-    rows = broadcast_if_small(stored(places.select(*ROW).distinct(), "matched-rows"), SMALL)
+    rows = broadcast_if_small(places.select(*ROW).distinct(), SMALL)
     there = index.postings.join(rows, ROW, "left_semi")
     matched = there.join(expected.hint("shuffle_hash"), ["k1", "k2", "pos", "term_id"])
     line = Window.partitionBy("k1", "k2", "item", "diagonal").orderBy("off")
@@ -140,7 +140,7 @@ def proximity_matches(postings: DataFrame, pairs: DataFrame, max_gap: int) -> Da
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows in which a window of an item occurs; columns unchanged."""
     found = contamination(docs.select("doc_id", "text"), benchmark, window)
-    hits = stored(found.filter("n_hit > 0").select("k1", "k2").distinct(), "contaminated")
+    hits = kept(found.filter("n_hit > 0").select("k1", "k2").distinct())
     k1, k2 = row_keys(docs["doc_id"], docs["text"])
     hits = broadcast_if_small(hits.toDF("_k1", "_k2"), SMALL)
     return docs.withColumn("_r1", k1).withColumn("_r2", k2).join(hits, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_anti").drop("_r1", "_r2")

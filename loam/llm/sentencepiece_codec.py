@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import TOKENIZERS, table
+from .common import TOKENIZERS, give_back, lean_batches, table
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segments whose ids a task remembers; forgotten all at once beyond that.
+#: Segments whose ids a task remembers; forgotten all at once beyond that, and at its end.
 REMEMBERED = 600_000
 #: Different words encoded as one text.
 JOINED = 512
@@ -178,11 +178,14 @@ class Encoder:
             return self._library(texts)
         cut = [self.cut(text) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known = dict(self.marker)
+            self.forget()
         known = self.known
         self._learn(list({x for parts in cut for x in parts}.difference(known)))
         return [b"".join([known[x] for x in parts]) for parts in cut]
 
+    def forget(self) -> None:
+        self.known = dict(self.marker)
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of piece ids: the pieces' bytes, joined; what is no UTF-8 then is left to the library."""
         found: list[str] = []
@@ -227,6 +230,8 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
             groups = _slices(batch.column("_text").to_pylist(), 1 << 20)
             ids = pa.array([np.frombuffer(x, "<i4") for group in groups for x in load(path).encode(group)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], schema.names)
+        load(path).forget()
+        give_back()
 
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
 
@@ -264,7 +269,10 @@ def encode_report(docs: DataFrame, path: str = MODEL) -> DataFrame:
                     rows.append((len(mine), hashlib.sha256(raw).hexdigest(), back == text, mine == other and theirs.decode(mine) == back))
             kinds = pa.int64(), pa.string(), pa.bool_(), pa.bool_()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], schema.names)
+        ours.forget()
+        give_back()
 
+    lean_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, lean_batches, stored, table
+from .common import broadcast_if_small, give_back, kept, lean_batches, stored, table
 from .decontaminate import row_keys
 from .near_dedup import mixed
 
@@ -152,6 +152,7 @@ def cover(docs: DataFrame) -> DataFrame:
                 shift = np.array([at - (end - len(part)) for (_, at, part), end in zip(group, ends, strict=True)])[piece]
                 columns = [keys[0][owner], keys[1][owner], gram.astype(np.int64), rank.astype(np.int64), first + shift, place - first, last - first + 1]
                 yield _table(columns, kinds, names)
+        give_back()
 
     schema = "k1 long, k2 long, gram long, rank long, first long, lead int, width int"
     return docs.select(*KEYS, F.encode("text", "utf-8").alias("raw")).mapInArrow(run, schema)
@@ -182,6 +183,7 @@ def bucket_rows(docs: DataFrame, contexts: DataFrame) -> DataFrame:
                         code = hashlib.blake2b(memoryview(core), digest_size=8, salt=part.to_bytes(2, "big")).digest()
                         rows.append((int.from_bytes(code, "big", signed=True), k1, k2, sample - far, context["n"], bytes(memoryview(raw)[sample - far : sample - near + LENGTH])))
                 yield _table(list(zip(*rows, strict=True)), kinds, names)
+        give_back()
 
     schema = "core long, k1 long, k2 long, first long, n long, bytes binary"
     return texts.join(listed, KEYS).mapInArrow(run, schema)
@@ -245,6 +247,8 @@ def repeated_in_buckets(rows: DataFrame) -> DataFrame:
         held += bucket if len(bucket) > 1 else []
         if held and (found := equal(held)):
             yield _table(list(zip(*found, strict=True)), kinds, names)
+        held, bucket = [], []
+        give_back()
 
     return rows.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(run, "k1 long, k2 long, start long, stop long")
 
@@ -270,15 +274,15 @@ def repeated_in_hot_buckets(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, start, stop): byte ranges of docs(k1, k2, text) that are covered by repeated strings."""
     lean_batches(docs.sparkSession)
-    sampled = stored(cover(docs), "cover")
+    sampled = kept(cover(docs))
     often = sampled.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
     repeated = stored(sampled.join(often, "gram", "left_semi"), "repeated-samples")
     ranks = repeated.groupBy("gram", "rank").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "lead", "width")).alias("one"))
-    ranks = stored(ranks.select("gram", "rank", "n", "one.*"), "ranks")
+    ranks = kept(ranks.select("gram", "rank", "n", "one.*"))
     ties = repeated.join(ranks.filter("n > 1").select("gram", "rank"), ["gram", "rank"])
     whole = ties.select(*KEYS, F.col("first").alias("start"), (F.col("first") + F.col("width") - 1 + LENGTH).alias("stop"))
     several = ranks.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 AND fewest = 1").select("gram")
-    contexts = stored(ranks.join(several, "gram", "left_semi"), "contexts")
+    contexts = kept(ranks.join(several, "gram", "left_semi"))
     rows = stored(bucket_rows(docs, contexts), "buckets")
     sizes = rows.groupBy("core").agg(F.count("*").alias("size"))
     hot = broadcast_if_small(sizes.filter(F.col("size") > HOT).select("core"), SMALL)
@@ -321,7 +325,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """_row (all columns of docs) and the repeated spans of its text, null where there are none."""
     keyed = docs.select(F.struct("*").alias("_row"), *row_keys(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(keyed.select(*KEYS, "text"))
-    listed = stored(spans.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    listed = spans.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return keyed.select("_row", *KEYS).join(listed, KEYS, "left").select("_row", "spans")
 
 
@@ -336,8 +340,8 @@ def removal_report(docs: DataFrame) -> DataFrame:
             for raw, spans in zip(batch.column("raw"), batch.column("spans"), strict=True):
                 raw = raw.as_py()
                 runs = merged([(s["start"], s["stop"]) for s in spans.as_py() or []])
-                kept = _kept(raw, runs)
-                rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+                left = _kept(raw, runs)
+                rows.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], schema.names)
 
