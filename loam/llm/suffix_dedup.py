@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, give_back, kept, lean_batches, stored, table
+from .common import broadcast_if_small, give_back, lean_batches, stored, table
 from .decontaminate import row_keys
 from .near_dedup import mixed
 
@@ -274,15 +274,15 @@ def repeated_in_hot_buckets(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, start, stop): byte ranges of docs(k1, k2, text) that are covered by repeated strings."""
     lean_batches(docs.sparkSession)
-    sampled = kept(cover(docs))
+    sampled = stored(cover(docs), "cover")
     often = sampled.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
     repeated = stored(sampled.join(often, "gram", "left_semi"), "repeated-samples")
     ranks = repeated.groupBy("gram", "rank").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "lead", "width")).alias("one"))
-    ranks = kept(ranks.select("gram", "rank", "n", "one.*"))
+    ranks = stored(ranks.select("gram", "rank", "n", "one.*"), "ranks")
     ties = repeated.join(ranks.filter("n > 1").select("gram", "rank"), ["gram", "rank"])
     whole = ties.select(*KEYS, F.col("first").alias("start"), (F.col("first") + F.col("width") - 1 + LENGTH).alias("stop"))
     several = ranks.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 AND fewest = 1").select("gram")
-    contexts = kept(ranks.join(several, "gram", "left_semi"))
+    contexts = stored(ranks.join(several, "gram", "left_semi"), "contexts")
     rows = stored(bucket_rows(docs, contexts), "buckets")
     sizes = rows.groupBy("core").agg(F.count("*").alias("size"))
     hot = broadcast_if_small(sizes.filter(F.col("size") > HOT).select("core"), SMALL)
@@ -325,7 +325,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """_row (all columns of docs) and the repeated spans of its text, null where there are none."""
     keyed = docs.select(F.struct("*").alias("_row"), *row_keys(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(keyed.select(*KEYS, "text"))
-    listed = spans.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    listed = stored(spans.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     return keyed.select("_row", *KEYS).join(listed, KEYS, "left").select("_row", "spans")
 
 
