@@ -7,13 +7,14 @@ all its registers hold. Two registers agree with the probability Jaccard similar
 sets; with equal weights, the default, that is the Jaccard similarity of the sets.
 
 1. Texts that are equal form one copy class; only one member goes on.
-2. Registers are cut into bands; documents that agree on a band share a bucket. A bucket's hub is the
-   document that shares buckets with the most others. Buckets are worked through in blocks of at most
-   about `BLOCK` documents, each with the bucket's hub: a document is paired with the hub and with its
-   most similar partner in the block, if the registers suggest the threshold may be met. So a group of
-   copies gives a number of pairs in proportion to its size.
-3. Pairs are verified on the whole sets of shingles.
-4. Connected components of the verified pairs are the near-duplicate classes.
+2. Registers are cut into bands; documents that agree on a band share a bucket, and every two of them
+   are a candidate if the registers suggest that the threshold may be met, in the first band that both
+   agree on. Buckets are worked through in blocks of about `BLOCK` documents and of bounded shingles,
+   every block with itself and with every other, so large buckets spread over many tasks. Pairs travel
+   as bits of the documents' rows.
+3. Pairs are verified on the whole sets of shingles, block by block again. What leaves a block are its
+   documents' numbers of links, and as few rows as tie its linked documents together.
+4. Connected components of these rows are the near-duplicate classes.
 
 Defined results: null texts count as empty; texts without words are only duplicates of equal texts.
 Rows with a null doc_id take no part: class null, no links. Rows that share a doc_id count as one
@@ -36,7 +37,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 80
 BANDS = 20
-BLOCK = 512
+#: Documents and shingles of a block at most, about; cells of a matrix of documents and shingles.
+BLOCK = 1_024
+BLOCK_SHINGLES = 1 << 20
+DENSE = 1 << 22
 #: How far registers may underestimate the similarity of a pair that is still verified: over 4 deviations.
 SLACK = 0.2
 GROUP = 1 << 18
@@ -160,82 +164,160 @@ def shingle_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
     return hashed.mapInArrow(run, schema)
 
 
-def block_pairs(ids: list, sizes: np.ndarray, registers: np.ndarray, hub: int | None, least: float) -> Iterator[tuple]:
-    """Pairs worth verifying in a block: each document with its hub and with its likeliest partner."""
-    low = THRESHOLD * np.maximum.outer(sizes, sizes) <= np.minimum.outer(sizes, sizes)
-    alike = np.zeros((len(ids), len(ids)))
-    for column in registers.T:
-        alike += column[:, None] == column[None, :]
-    alike /= registers.shape[1]
-    np.fill_diagonal(alike, 0)
-    alike[~low] = 0
-    best = alike.argmax(axis=1)
-    for i in range(len(ids)):
-        for j in {int(best[i]), *([hub] if hub is not None else [])}:
-            if alike[i, j] >= least and ids[i] != ids[j]:
-                yield (ids[i], ids[j])
+def block_mates(sizes: np.ndarray, registers: np.ndarray, sides: tuple[np.ndarray, np.ndarray], band: int, threshold: float) -> np.ndarray:
+    """Which rows of the first side make a pair worth verifying with which rows of the second (rows x rows).
+
+    A pair counts in the first band that it agrees on only, so it is met once. Where both sides are the
+    same rows, the row that comes first has the pair.
+    """
+    first, second = sides
+    depth = REGISTERS // BANDS
+    alike = np.zeros((len(first), len(second)), np.uint8)
+    earlier, own = np.zeros(alike.shape, bool), np.zeros(alike.shape, bool)
+    for at in range(BANDS):
+        agree = np.ones(alike.shape, bool)
+        for column in registers.T[at * depth : (at + 1) * depth]:
+            same = column[first][:, None] == column[second][None, :]
+            alike += same
+            agree &= same
+        if at < band:
+            earlier |= agree
+        elif at == band:
+            own = agree
+    large, small = np.maximum.outer(sizes[first], sizes[second]), np.minimum.outer(sizes[first], sizes[second])
+    wanted = own & ~earlier & (alike >= (threshold - SLACK) * REGISTERS) & (threshold * large <= small)
+    if first is second:
+        wanted = np.triu(wanted, 1)
+    found = np.zeros((len(sizes), len(sizes)), bool)
+    found[np.ix_(first, second)] = wanted
+    return found
+
+
+WORK = ["band", "code", "one", "two"]
 
 
 def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Different pairs (member, other) of classes(class_id, n_shingles, bands, registers) to verify."""
-    listed = classes.select("class_id", F.posexplode("bands").alias("band", "code"))
+    """All pairs of classes(class_id, n_shingles, bands, registers) to verify, packed by pairs of blocks.
+
+    Rows (*WORK, class_id, at, mates): a member of a piece of work, its place there, and a bit for the
+    place of each member that it is to be verified with. Members without a pair are left out.
+    """
+    listed = classes.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "code"))
     # Kept before it is joined, so that Spark can split a frequent bucket on the other side.
-    buckets = kept(listed.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = kept(listed.join(buckets, ["band", "code"]))
-    met = shared.groupBy("class_id").agg(F.sum("n").alias("met"))
-    hubs = shared.join(met, "class_id").groupBy("band", "code").agg(F.max(F.struct("met", "class_id"))["class_id"].alias("hub"), F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = shared.select("band", "code", "class_id", F.pmod(F.xxhash64("class_id", "band"), blocks.cast("long")).cast("int").alias("block"), F.lit(False).alias("is_hub"))
-    leads = hubs.select("band", "code", F.col("hub").alias("class_id"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("is_hub"))
-    rows = members.unionByName(leads).join(classes.select("class_id", "n_shingles", "registers"), "class_id")
-    ordered = rows.repartition("band", "code", "block").sortWithinPartitions("band", "code", "block", "is_hub", "class_id")
-    schema = rows.select(F.col("class_id").alias("member"), F.col("class_id").alias("other")).schema
+    buckets = kept(listed.groupBy("band", "code").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    shared = listed.join(buckets, ["band", "code"]).withColumn("blocks", blocks)
+    members = shared.withColumn("block", F.pmod(F.xxhash64("class_id", "band"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = members.select("band", "code", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class_id")
+    rows = placed.join(classes.select("class_id", "n_shingles", "registers"), "class_id")
+    columns = (*WORK, "block", "class_id", "n_shingles", "registers")
+    ordered = rows.repartition(*WORK).sortWithinPartitions(*WORK, "class_id").select(*columns)
+    schema = rows.select(*WORK, "class_id").schema.add("at", "integer").add("mates", "binary")
+    names = schema.names
+
+    def mates(key: tuple, held: list[tuple]) -> Iterator[tuple]:
+        band, _, one, two = key
+        if len(held) < 2:
+            return
+        side = np.array([h[0] for h in held])
+        first = np.flatnonzero(side == one)
+        second = first if one == two else np.flatnonzero(side == two)
+        registers = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
+        found = block_mates(np.array([h[2] for h in held]), registers, (first, second), band, threshold)
+        used = np.flatnonzero(found.any(axis=0) | found.any(axis=1))
+        for at, (row, bits) in enumerate(zip(used, np.packbits(found[np.ix_(used, used)], axis=1), strict=True)):
+            yield (*key, held[row][1], at, bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[tuple] = set()
-
-        def flush() -> Iterator[tuple]:
-            ids = [h[0] for h in held]
-            lead = next((h[0] for h in held if h[3]), None)
-            kept = [i for i, h in enumerate(held) if not h[3] or h[0] not in ids[:i]]
-            if len(kept) > 1:
-                chosen = [held[i] for i in kept]
-                registers = np.frombuffer(b"".join(h[2] for h in chosen), np.uint32).reshape(len(chosen), -1)
-                names = [h[0] for h in chosen]
-                yield from block_pairs(names, np.array([h[1] for h in chosen]), registers, names.index(lead) if lead is not None else None, threshold - SLACK)
-
-        current, kind = None, None
+        found: list[tuple] = []
+        current, kinds = None, None
         for batch in batches:
-            kind = batch.column("class_id").type
-            columns = (batch.column(c).to_pylist() for c in ("band", "code", "block", "class_id", "n_shingles", "registers", "is_hub"))
-            found: set[tuple] = set()
-            for band, code, block, *row in zip(*columns, strict=True):
-                if (band, code, block) != current:
-                    found |= set(flush()) - seen
-                    held.clear()
-                    current = (band, code, block)
-                held.append(tuple(row))
-            if len(seen) > GROUP:
-                seen.clear()
-            seen |= found
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kind) for i in (0, 1)], schema.names)
+            kinds = [*(batch.column(c).type for c in (*WORK, "class_id")), pa.int32(), pa.binary()]
+            for *key, block, class_id, size, registers in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if tuple(key) != current:
+                    found += mates(current, held) if held else []
+                    held, current = [], tuple(key)
+                held.append((block, class_id, size, registers))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
+            found = []
         if held:
-            found = set(flush()) - seen
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kind) for i in (0, 1)], schema.names)
+            found = list(mates(current, held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
         give_back()
 
-    columns = ("band", "code", "block", "class_id", "n_shingles", "registers", "is_hub")
-    return ordered.select(*columns).mapInArrow(run, schema).distinct()
+    return ordered.mapInArrow(run, schema)
+
+
+def common_counts(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many values each two of consecutive sets of different values share (sets x sets)."""
+    n = len(lengths)
+    owner = np.repeat(np.arange(n), lengths)
+    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+    several = often[place] > 1
+    owner, place = owner[several], (np.cumsum(often > 1) - 1)[place[several]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((n, n))
+    width = max(1, DENSE // n)
+    edges = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else 0) + width + 1, width))
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b > a:
+            held = np.zeros((n, min(width, place[b - 1] - i * width + 1)), np.float32)
+            held[owner[a:b], place[a:b] - i * width] = 1
+            common += held @ held.T
+    return common
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n) of candidate pairs whose sets(class_id, shingles) have a Jaccard similarity of the threshold or more.
+
+    Where b is null, a has n such links in a piece of work; each link is in one piece. Where n is null,
+    a and b are connected by links; these rows tie each piece's classes together, one row fewer than members.
+    """
+    columns = (*WORK, "class_id", "at", "mates", "shingles")
+    ordered = pairs.join(sets, "class_id").repartition(*WORK).sortWithinPartitions(*WORK, "at").select(*columns)
+    schema = ordered.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).schema.add("n", "long")
+
+    def verify(held: list[tuple]) -> Iterator[tuple]:
+        n = len(held)
+        ids = [h[0] for h in held]
+        asked = np.unpackbits(np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(n, -1), axis=1, count=n).astype(bool)
+        lengths = np.array([len(h[2]) for h in held])
+        common = common_counts(np.concatenate([h[2] for h in held]), lengths)
+        linked = asked & (common / (np.add.outer(lengths, lengths) - common) >= threshold)
+        linked |= linked.T
+        degree = linked.sum(axis=1)
+        yield from ((ids[i], None, int(degree[i])) for i in np.flatnonzero(degree))
+        left = degree > 0
+        for root in np.flatnonzero(left):
+            if left[root]:
+                left[root] = False
+                edge = np.array([root])
+                while len(edge):
+                    edge = np.flatnonzero(linked[edge].any(axis=0) & left)
+                    left[edge] = False
+                    yield from ((ids[root], ids[i], None) for i in edge)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current, kinds = None, None
+        for batch in batches:
+            kinds = [batch.column("class_id").type] * 2 + [pa.int64()]
+            found: list[tuple] = []
+            values, ends = np.asarray(batch.column("shingles").flatten()), np.append(0, np.cumsum(np.asarray(batch.column("shingles").value_lengths())))
+            for row, (*key, class_id, _, bits) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:-1]), strict=True)):
+                if tuple(key) != current:
+                    found += verify(held) if held else []
+                    held, current = [], tuple(key)
+                held.append((class_id, bits, values[ends[row] : ends[row + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], schema.names)
+        if held:
+            found = list(verify(held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], schema.names)
+        give_back()
 
-def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pairs(member, other) whose sets(class_id, shingles) have a Jaccard similarity of the threshold or more."""
-    left = sets.select(F.col("class_id").alias("member"), F.col("shingles").alias("mine"))
-    right = sets.select(F.col("class_id").alias("other"), F.col("shingles").alias("theirs"))
-    both = pairs.join(left, "member").join(right, "other")
-    shared = both.select("member", "other", (F.size("mine") + F.size("theirs")).alias("total"), F.size(F.array_intersect("mine", "theirs")).alias("common"))
-    return shared.select("member", "other", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return ordered.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
@@ -254,13 +336,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     chosen = signed.join(firsts, ["t1", "t2", "doc_id"], "left_semi")
     classes = stored(chosen.select(F.col("doc_id").alias("class_id"), "n_shingles", "bands", "registers").dropDuplicates(["class_id"]), "classes")
     pairs = stored(candidate_pairs(classes, threshold), "pairs")
-    needed = pairs.select(F.col("member").alias("class_id")).unionByName(pairs.select(F.col("other").alias("class_id"))).distinct()
+    needed = pairs.select("class_id").distinct()
     needed = needed.join(copies, "class_id").withColumnRenamed("class_id", "doc_id")
     texts = keyed.join(broadcast_if_small(needed, SMALL), ["t1", "t2", "doc_id"], "left_semi")
     sets = kept(shingle_sets(texts.select(F.col("doc_id").alias("class_id"), "text"), ["class_id"]).dropDuplicates(["class_id"]))
-    links = stored(verified_pairs(pairs, sets, threshold).select(F.greatest("member", "other").alias("a"), F.least("member", "other").alias("b")).distinct(), "links")
-    groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = stored(verified_links(pairs, sets, threshold), "links")
+    groups = components(links.filter(F.col("b").isNotNull()).select("a", "b"))
+    degree = links.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     marked = copies.join(groups.join(degree, "node"), F.col("class_id") == F.col("node"), "left").select(
         "t1", "t2", F.col("class_id").alias("copy_of"), F.coalesce("component", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

@@ -303,6 +303,30 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark):
     assert near_dedup.near_duplicates(docs).select("class_id").distinct().count() == 1
 
 
+def bridged_groups():
+    """Two tight groups that only one pair at about 0.81 connects; both its ends have a nearer copy, the centre of their group."""
+    rng = random.Random(11)
+    change = lambda ws, places, tag: [f"{tag}{i}" if i in places else w for i, w in enumerate(ws)]
+    near = [f"v{i}" for i in range(1_000)]
+    groups = []
+    for bridge, tag in ((near, "l"), (change(near, set(range(100, 200)), "far"), "r")):
+        centre = change(bridge, {400 if tag == "l" else 600}, tag)
+        groups += [" ".join(bridge), " ".join(centre), *(" ".join(change(centre, {rng.randrange(700, 990)}, f"{tag}{i}x")) for i in range(11))]
+    return groups
+
+
+@pytest.mark.parametrize("block", [1_024, 4])
+def test_every_link_of_a_bridged_group_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = bridged_groups()
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(words, texts)]
+    alike = [[i != j and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    across = sum(alike[i][j] for i in range(13) for j in range(13, 26))
+    assert 0 < across < 13 * 13
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(26)] == [(0, sum(row)) for row in alike]
+
+
 def test_registers_estimate_weighted_similarity():
     rng = np.random.default_rng(9)
     a, b = rng.integers(1, 50, 400).astype(float), rng.integers(1, 50, 400).astype(float)
