@@ -130,10 +130,29 @@ def classify(vectors: DataFrame, exemplars: DataFrame, threshold: float) -> Data
     return first.select(F.col("chunk_id").alias("vec_id"), F.when(F.col("score") >= threshold, F.col("query_id")).alias("topic"), F.col("score").alias("confidence"))
 
 
+def _direction(i: Column, b: int) -> Column:
+    """Component i of the fixed pseudo-random direction b."""
+    return F.sin((i + 1) * (b + 1) * F.lit(math.e * 1000))
+
+
+def _along(b: int) -> Column:
+    return F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * _direction(i, b)), F.lit(0.0), lambda s, v: s + v)
+
+
 def lsh_codes(vectors: DataFrame, bits: int = 8) -> DataFrame:
     """vectors with a `cell` of sign bits against fixed pseudo-random directions: a pruning index for vector search."""
-    sign = lambda b: F.aggregate(
-        F.transform("embedding", lambda x, i: x.cast("double") * F.sin((i + 1) * (b + 1) * F.lit(math.e * 1000))), F.lit(0.0), lambda s, v: s + v
-    ) > 0
-    cell = sum((sign(b).cast("int") * (1 << b) for b in range(bits)), F.lit(0))
+    cell = sum(((_along(b) > 0).cast("int") * (1 << b) for b in range(bits)), F.lit(0))
     return vectors.withColumn("cell", cell)
+
+
+def lsh_bounds(vectors: DataFrame, bits: int = 8) -> DataFrame:
+    """Each row of lsh_codes with every other cell (`probe`) and the highest cosine (`bound`) that a vector there can have with it.
+
+    Between a vector and all that lie beyond a hyperplane is at least its own angle to the hyperplane.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    length = lambda b: F.sqrt(F.aggregate(F.transform("embedding", lambda _, i: _direction(i, b) * _direction(i, b)), F.lit(0.0), lambda s, v: s + v))
+    margins = vectors.withColumn("_margins", F.array(*(F.abs(_along(b)) / (norm * length(b)) for b in range(bits))))
+    probes = margins.withColumn("probe", F.explode(F.array(*map(F.lit, range(1 << bits))))).filter("probe <> cell")
+    beyond = F.greatest(F.lit(0.0), *(F.when(F.col("probe").bitwiseXOR(F.col("cell")).bitwiseAND(1 << b) != 0, F.get("_margins", F.lit(b))).otherwise(0.0) for b in range(bits)))
+    return probes.withColumn("bound", F.sqrt(F.greatest(F.lit(0.0), 1 - beyond * beyond))).drop("_margins")

@@ -91,11 +91,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r3_vector_topk_pruned")
 def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same among vectors in the query's cell of a sign-bit index only; approximate."""
-    vectors = R.lsh_codes(table(spark, sf_dir, "embeddings"), 3)
-    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "cell")
-    scored = vectors.join(queries, "cell").select("query_id", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))
-    return R.top(scored, ["query_id"], "sim", "vec_id", 20)
+    """The same by a sign-bit index: the query's own cell, then each cell that can hold a nearer vector; exact."""
+    bits, k = 3, 20
+    vectors = R.lsh_codes(table(spark, sf_dir, "embeddings"), bits)
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "cell")
+    similar = F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("sim")
+    own = vectors.join(asked.withColumnRenamed("embedding", "q"), "cell").select("query_id", "vec_id", similar)
+    floor = R.top(own, ["query_id"], "sim", "vec_id", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("sim")).otherwise(-1.0).alias("floor"))
+    # Similarities are rounded to 6 decimals; what may tie with the floor is probed too.
+    probes = R.lsh_bounds(asked, bits).join(floor, "query_id").filter(F.col("bound") >= F.col("floor") - 2e-6)
+    probes = probes.select("query_id", F.col("embedding").alias("q"), F.col("probe").alias("cell"))
+    rest = vectors.join(probes, "cell").select("query_id", "vec_id", similar)
+    return R.top(own.unionByName(rest), ["query_id"], "sim", "vec_id", k)
 
 
 def _rankings(spark: SparkSession, sf_dir: str, **filters: Column) -> tuple[DataFrame, DataFrame]:

@@ -140,3 +140,12 @@ def test_session_state_across_batches(spark, tmp_path):
     assert got[("s", 2)] == ("graduate", False, "How do I get a visa?", 2)
     assert got[("s", 3)] == ("graduate", False, "I want to enroll as a transfer", 3)
     assert got[("t", 2)] == ("freshman", False, "hi", 2)
+
+
+def test_pruned_vector_search_finds_what_brute_force_finds(spark):
+    from loam.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    pruned, exact = ({(r["query_id"], r["vec_id"]) for r in QUERIES[name](spark, sf_dir).collect()} for name in ("r3_vector_topk_pruned", "r2_vector_topk"))
+    assert exact and len(pruned & exact) / len(exact) >= 0.9
+    print("recall at 20:", len(pruned & exact) / len(exact))
