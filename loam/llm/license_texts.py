@@ -1,7 +1,10 @@
-"""Public licence texts known to the scan: (SPDX id, whole text). Fixed values."""
+"""Public licence texts known to the scan: (SPDX id, whole text). Fixed values; long ones are in licences.json."""
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
@@ -107,3 +110,6 @@ KNOWN: list[tuple[str, str]] = [
     ("GPL-3.0-reference", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-reference", "Licensed under CC BY-NC 4.0."),
 ]
+
+# Read through the loader, as the package may be in a zip.
+KNOWN += [(name, text) for name, text in json.loads((resources.files(__package__) / "licences.json").read_text(encoding="utf-8"))]

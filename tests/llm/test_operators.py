@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -363,6 +364,14 @@ def test_licences_match_whole_texts_only(spark):
     assert [found[i] for i in range(6)] == ["MIT", None, "MIT", None, None, None]
 
 
+def test_whole_texts_of_long_licences_are_known(spark):
+    folder = Path("/usr/share/common-licenses")
+    wanted = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    docs = documents(spark, [(folder / name).read_text() for name in wanted])
+    found = {r["doc_id"]: r["licence_id"] for r in license_scan.scan(docs, license_scan.known_digests(spark, KNOWN)).collect()}
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
+
+
 # 9 SentencePiece
 
 
