@@ -206,6 +206,16 @@ def test_neighbours_of_odd_inputs(spark):
     assert neighbours.search(neighbours.build_graph(nothing), nothing.withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
+@pytest.mark.parametrize("offset, scale", [(1000.0, 0.1), (0.0, 1e6)])
+def test_neighbour_lists_of_offset_and_large_vectors(spark, offset, scale):
+    x = offset + scale * np.random.default_rng(5).normal(size=(60, 8))
+    vectors = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    graph = neighbours.merged_lists(neighbours._as_merged(neighbours.first_lists(vectors, 60), False))
+    got = {r["node"]: r["ids"][:5] for r in graph.collect()}
+    truth = brute_neighbours(list(range(60)), x, list(range(60)), 5)
+    assert np.mean([len(set(got.get(q, [])) & set(truth[q])) / 5 for q in truth]) > 0.95
+
+
 # 6 suffix dedup
 
 
