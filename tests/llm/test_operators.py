@@ -219,23 +219,41 @@ def test_neighbour_lists_of_offset_and_large_vectors(spark, offset, scale):
 # 6 suffix dedup
 
 
-def brute_removal(texts):
+def repeat_masks(texts, length=400):
     raws = [(t or "").encode() for t in texts]
     seen = {}
     for raw in raws:
-        for i in range(len(raw) - 399):
-            seen[raw[i : i + 400]] = seen.get(raw[i : i + 400], 0) + 1
-    found = []
+        for i in range(len(raw) - length + 1):
+            seen[raw[i : i + length]] = seen.get(raw[i : i + length], 0) + 1
     for raw in raws:
         mask = bytearray(len(raw))
-        for i in range(len(raw) - 399):
-            if seen[raw[i : i + 400]] > 1:
-                mask[i : i + 400] = b"\1" * 400
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                mask[i : i + length] = b"\1" * length
+        yield raw, mask
+
+
+def brute_removal(texts, length=400):
+    found = []
+    for raw, mask in repeat_masks(texts, length):
         kept = bytes(b for b, m in zip(raw, mask, strict=True) if not m)
         found.append((len(raw), len(raw) - len(kept), sum(1 for i, m in enumerate(mask) if m and (i == 0 or not mask[i - 1])), hashlib.sha256(kept).hexdigest()))
     return found
 
 
+def brute_cut(texts, length):
+    """texts without the repeated strings; of a character all bytes go or none."""
+    cut = []
+    for text, (_, mask) in zip(texts, repeat_masks(texts, length), strict=True):
+        at, kept = 0, []
+        for c in text or "":
+            size = len(c.encode())
+            kept += [c] if not all(mask[at : at + size]) else []
+            at += size
+        cut.append("".join(kept) if text is not None else None)
+    return cut
+
+
 def passages():
     rng = random.Random(6)
     noise = lambda n: "".join(rng.choices("abcdefghij é", k=n))
@@ -254,11 +272,30 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == brute_removal(texts)
 
 
+@pytest.mark.parametrize("length", [60, 200, 400])
+def test_suffix_dedup_cuts_passages_of_a_length(spark, length):
+    texts = passages() + [f"{'é' * n}{'plain words of the passage ' * 3}{n}" for n in range(3)]
+    rows = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(documents(spark, texts), length).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_cut(texts, length)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removal_report(documents(spark, texts), length).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removal(texts, length)
+
+
+def test_suffix_dedup_cuts_a_passage_of_51_words_from_every_document(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 6))) for _ in range(n))
+    passage = some(51)
+    texts = [f"{some(40)} {passage} {some(30)}" for _ in range(25)] + [some(90) for _ in range(25)]
+    rows = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(documents(spark, texts)).collect()}
+    assert all(passage not in rows[i] and len(rows[i].split()) >= 68 for i in range(25))
+    assert all(rows[i] == texts[i] for i in range(25, 50))
+
+
 def test_suffix_dedup_cuts_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1_000)
     texts = passages()
     pieces = suffix_dedup.cover(documents(spark, texts).select(F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.coalesce("text", F.lit("")).alias("text")))
-    assert pieces.agg(F.sum("width")).first()[0] == sum(max(len((t or "").encode()) - 399, 0) for t in texts)
+    assert pieces.agg(F.sum(F.col("width") * F.col("n"))).first()[0] == sum(max(len((t or "").encode()) - 399, 0) for t in texts)
 
 
 def test_suffix_dedup_of_odd_inputs(spark, odd):
