@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work on single rows: dealt to as many tasks as run at once if it has fewer files."""
+    found = table(spark, sf_dir, name).select(*columns)
+    tasks = spark.sparkContext.defaultParallelism
+    return found if len(found.inputFiles()) >= tasks else found.repartition(tasks)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or (tests only) a new local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -107,9 +114,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def lean_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Bound the bytes, besides the rows, of the batches that Spark hands to Python: texts may be long."""
+def lean_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes, besides the rows, of the batches that Spark reads and hands to Python: texts may be long.
+
+    The settings stay: a query runs after the function that made it returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def give_back() -> None:

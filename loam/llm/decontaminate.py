@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, stored, table, words
+from .common import broadcast_if_small, kept, spread_table, stored, table, words
 
 WINDOW = 10
 #: Rows up to which a stored, benchmark-sized or match-sized table is broadcast; larger ones are shuffled.
@@ -147,7 +147,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),

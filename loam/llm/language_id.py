@@ -7,7 +7,8 @@ rejected.
 
 Defined results: null texts and texts without a letter give `und`, score 0, not rejected. Ties go to the
 language that sorts first. With one learned language the score is 1; with none every text is `und`.
-Repeated rows are scored one by one; extra columns are ignored. Texts are compressed whole.
+Repeated rows are scored one by one, and learned from once; extra columns are ignored. Texts are compressed
+whole, however long. Without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table
 
 #: Characters of sample text in a dictionary, and in each slice of a training document taken into it.
 DICTIONARY_CHARS = 160_000
@@ -31,20 +32,21 @@ LEVEL = 9
 def train_dictionaries(labelled: DataFrame, dictionary_chars: int = DICTIONARY_CHARS, slice_chars: int = SLICE_CHARS) -> dict[str, bytes]:
     """One dictionary a language from labelled(doc_id, text, lang).
 
-    The fit takes a bounded random sample: about dictionary_chars / slice_chars documents of each
-    language, drawn by a hash of doc_id, and of each a slice from its middle.
+    The fit takes a bounded random sample: about dictionary_chars / slice_chars different documents of
+    each language, drawn by a hash of doc_id and text, and of each a slice from its middle. The share to
+    draw of each language, a row a language, goes into the filter, so only what is drawn is shuffled.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    wanted = dictionary_chars / slice_chars
-    sizes = usable.groupBy("lang").agg((F.sum(F.least(F.length("text"), F.lit(slice_chars))) / slice_chars).alias("slices"))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    sizes = usable.groupBy("lang").agg((F.sum(F.least(F.length("text"), F.lit(slice_chars))) / slice_chars).alias("slices")).collect()
+    if not sizes:
+        return {}
+    wanted = 1.5 * dictionary_chars / slice_chars
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], wanted / r["slices"])))
+    draw = F.xxhash64(F.lit("language"), "doc_id", "text")
     middle = F.greatest(F.lit(1), ((F.length("text") - slice_chars) / 2).cast("int"))
-    rows = (
-        usable.join(sizes, "lang")
-        .filter(draw < F.lit(1.5 * wanted) / F.col("slices"))
-        .select("lang", draw.alias("draw"), F.lower(F.substring("text", middle, F.lit(slice_chars))).alias("piece"))
-        .collect()
-    )
+    drawn = usable.filter(F.pmod(draw, F.lit(1 << 30)) / (1 << 30) < F.element_at(share, F.col("lang")))
+    pieces = drawn.select("lang", draw.alias("draw"), F.lower(F.substring("text", middle, F.lit(slice_chars))).alias("piece"))
+    rows = pieces.groupBy("lang", "draw").agg(F.min("piece").alias("piece")).collect()  # repeated rows once
     parts: dict[str, list[str]] = {}
     for lang, _, piece in sorted(rows):
         parts.setdefault(lang, []).append(piece)
@@ -87,7 +89,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     dictionaries = train_dictionaries(docs.filter(~held_out(F.col("doc_id"))))
     scored = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     return classify(scored, dictionaries, ["doc_id", "held_out"])

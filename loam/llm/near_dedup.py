@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, components, give_back, kept, lean_batches, stored, table, words
+from .common import broadcast_if_small, components, give_back, kept, lean_batches, spread_table, stored, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -368,4 +368,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread_table(spark, sf_dir, "documents", "doc_id", "text"))

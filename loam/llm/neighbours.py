@@ -1,20 +1,24 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, greedy search over it.
 
+Copies. Equal vectors are one node of the graph; the smallest ids of each group of copies are kept beside
+it, as many as a result can need, so a group of copies of any size weighs as much as one vector.
+
 Building. Vectors are first dealt to the cells of their nearest pivots (a bounded random sample); cells
 are worked through in blocks, and each vector keeps the `DEGREE` nearest others that it met. Then each
 round joins the graph with itself: at every vector its neighbours and those it is a neighbour of come
-together, and each is offered the nearest of the others that improve its list. Rounds end when few
-entries change. Hubs are cut into blocks that all hold the hub's own neighbours, so no reverse
+together, and each is offered the nearest of the others that improve its list. Rounds go on, at any size,
+until few entries change. Hubs are cut into blocks that all hold the hub's own neighbours, so no reverse
 neighbour is dropped. A vector is linked with its neighbours and with the nearest ones that list it.
 
-Searching. Queries go in blocks of a bounded number. Each holds a pool of the `POOL` nearest vectors
-seen; a hop joins the neighbours of pool members that are new to it with the graph, measures them, and
-renews the pool. A query ends when no pool member is new. Every hop ends in a stored table.
+Searching. Each query enters at its own node's links, if it is a node, and at a bounded random sample. It
+holds a pool of the `POOL` nearest vectors seen; a hop joins the neighbours of pool members that are new to
+it with the graph, measures them, and renews the pools of all queries. A query ends when no pool member is
+new. Every hop ends in a stored table; no query goes through the driver.
 
 Graph distances use single precision on vectors less their mean; scores are Euclidean distances of the original vectors in double
 precision. Recall at 10 against brute force is given in the README.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
+Defined results: ties go to the smaller vec_id, among copies exactly. Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; nor do null vec_ids. Rows that share a vec_id count as one (the smallest
 vector). With fewer candidates than asked for, all are returned; an empty table gives no rows. Extra
 columns are ignored.
@@ -23,10 +27,11 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored, table
@@ -37,10 +42,10 @@ CELLS, CELL, MAX_PIVOTS = 6, 600, 4_096
 #: Vectors in a block of a cell, and members of a block of a hub, at most about.
 BLOCK = 1_200
 OFFERS = 4
-ROUNDS, SETTLED = 3, 0.02
+#: Share of all list entries under which the entries that a round changes end the rounds.
+SETTLED = 0.02
 POOL = 400
 STARTS = 256
-QUERY_BLOCK = 20_000
 SMALL = 200_000
 
 
@@ -64,6 +69,23 @@ def usable(vectors: DataFrame) -> DataFrame:
     return stored(single.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "vec_id long, vec binary"), "vectors")
 
 
+class Nodes(NamedTuple):
+    vectors: DataFrame  # vec_id (the smallest of the copies), vec, t1, t2
+    members: DataFrame  # t1, t2, vec_id: the smallest ids of each group of copies
+
+
+def same_vector(vec: Column) -> list[Column]:
+    return [F.xxhash64(vec).alias("t1"), F.xxhash64(F.lit(1), vec).alias("t2")]
+
+
+def collapsed(vectors: DataFrame, k: int) -> Nodes:
+    """Nodes of the different ones of vectors(vec_id, vec), with up to k + 1 ids of each."""
+    keyed = vectors.select("vec_id", "vec", *same_vector(F.col("vec")))
+    place = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("vec_id"))
+    ranked = stored(keyed.withColumn("place", place).filter(F.col("place") <= k + 1), "copies")
+    return Nodes(ranked.filter("place = 1").drop("place"), ranked.select("t1", "t2", "vec_id"))
+
+
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
@@ -131,11 +153,10 @@ def centring(vectors: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: (x / top - mean).astype("<f4")
 
 
-def first_lists(vectors: DataFrame, n: int) -> DataFrame:
+def first_lists(vectors: DataFrame, n: int, single: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Neighbour lists (node, ids, dists, fresh) from the blocks of the pivots' cells; several a node."""
     wanted = int(min(MAX_PIVOTS, max(1, -(-n * CELLS // CELL))))
     pivots = vectors.orderBy(F.xxhash64(F.lit("pivot"), "vec_id")).limit(wanted).collect()
-    single = centring(vectors)
     places = single(np.array([np.frombuffer(bytes(r["vec"]), "<f8") for r in pivots]))
     cells = min(CELLS, len(places))
 
@@ -187,19 +208,11 @@ def _as_merged(lists: DataFrame, old: bool) -> DataFrame:
     return lists.select("node", "ids", "dists", flags.alias("fresh"), F.lit(old).alias("old"))
 
 
-def descend(graph: DataFrame, vectors: DataFrame) -> DataFrame:
+def descend(graph: DataFrame, short: DataFrame) -> DataFrame:
     """Offers (node, ids, dists, fresh) from one round of joining neighbours of neighbours."""
     edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("other"), F.col("e.fresh").alias("fresh"))
     limit = graph.select(F.col("node").alias("member"), F.coalesce(F.try_element_at("dists", F.lit(DEGREE)), F.lit(float("inf"))).alias("limit"))
-
-    single = centring(vectors)
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = single(_matrix(batch.column("vec"), "<f8"))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in short], pa.binary())], ["member", "vec"])
-
-    card = vectors.mapInArrow(shorten, "member long, vec binary").join(limit, "member")
+    card = short.join(limit, "member")
     hubs = stored(edges.groupBy("other").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks")).filter("blocks > 1").withColumnRenamed("other", "centre"), "hubs")
     hubs = broadcast_if_small(hubs, SMALL)
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
@@ -233,17 +246,30 @@ def descend(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     return ordered.mapInArrow(lambda b: _by_group(b, keys, work, LIST_KINDS, LISTS), LIST_SCHEMA)
 
 
+def shortened(vectors: DataFrame, single: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(member, vec) of vectors in single precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                short = single(_matrix(batch.column("vec"), "<f8"))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in short], pa.binary())], ["member", "vec"])
+
+    return vectors.select("vec_id", "vec").mapInArrow(run, "member long, vec binary")
+
+
 def build_graph(vectors: DataFrame) -> DataFrame:
-    """(node, vec, links) of usable vectors: the searchable graph; stored."""
+    """(node, vec, links) of vectors(vec_id, vec), of which no two are equal: the searchable graph; stored."""
     n = vectors.count()
-    graph = stored(merged_lists(_as_merged(first_lists(vectors, n), False)), "graph")
-    for _ in range(ROUNDS if n > BLOCK else 0):
-        offers = _as_merged(descend(graph, vectors), False)
+    single = centring(vectors)
+    graph = stored(merged_lists(_as_merged(first_lists(vectors.select("vec_id", "vec"), n, single), False)), "graph")
+    short = stored(shortened(vectors, single), "short-vectors")
+    changed = n * DEGREE
+    while changed > SETTLED * n * DEGREE:
+        offers = _as_merged(descend(graph, short), False)
         old = graph.withColumn("fresh", F.transform("ids", lambda _: F.lit(False)))
         graph = stored(merged_lists(_as_merged(old, True).unionByName(offers)), "graph")
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
-        if changed < SETTLED * n * DEGREE:
-            break
     edges = graph.select("node", F.explode(F.arrays_zip("ids", "dists")).alias("e")).select("node", F.col("e.ids").alias("other"), F.col("e.dists").alias("dist"))
     nearest = Window.partitionBy("other").orderBy("dist", "node")
     inward = edges.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= DEGREE).groupBy("other").agg(F.collect_set("node").alias("back"))
@@ -252,70 +278,70 @@ def build_graph(vectors: DataFrame) -> DataFrame:
     return stored(found.select(F.col("vec_id").alias("node"), "vec", F.coalesce("links", F.array().cast("array<long>")).alias("links")), "links")
 
 
-def search_block(graph: DataFrame, queries: list[tuple[int, bytes]], k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of a bounded block of queries."""
-    spark = graph.sparkSession
-    ids = np.array([q for q, _ in queries], np.int64)
-    order = np.argsort(ids)
-    ids = ids[order]
-    where = np.frombuffer(b"".join(v for _, v in queries), "<f8").reshape(len(queries), -1)[order]
-    shared = spark.sparkContext.broadcast((ids, where))
-    starts = [r[0] for r in graph.select("node").orderBy(F.xxhash64(F.lit("start"), "node")).limit(STARTS).collect()]
-    begin = spark.createDataFrame([(int(q),) for q in ids], "query_id long").select("query_id", F.explode(F.array(*map(F.lit, starts)).cast("array<long>")).alias("node"))
-    todo = begin.filter("query_id <> node")
-    pool = None
-    names = ["query_id", "node", "dist", "links", "done"]
-    schema = "query_id long, node long, dist double, links array<long>, done boolean"
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.bool_()]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, places = shared.value
-        for batch in batches:
-            x = _matrix(batch.column("vec"), "<f8") if batch.num_rows else np.zeros((0, places.shape[1]))
-            q = places[np.searchsorted(own, np.asarray(batch.column("query_id")))]
-            dist = np.sqrt(((x - q) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(dist), batch.column("links"), pa.array(np.zeros(len(dist), bool))], names)
-
-    def renew(rows: list[dict]) -> Iterator[tuple]:
-        best = {}
-        for row in rows:
-            if row["node"] not in best or row["done"]:
-                best[row["node"]] = row
-        kept = sorted(best.values(), key=lambda r: (r["dist"], r["node"]))[:POOL]
-        known = set(best) | {rows[0]["query_id"]}
-        for row in kept:
-            fresh = [x for x in row["links"] if x not in known] if not row["done"] else []
-            known.update(fresh)
-            yield row["query_id"], row["node"], row["dist"], fresh, True
-
-    while True:
-        measured = todo.join(graph, "node").select("query_id", "node", "vec", "links").mapInArrow(measure, schema)
-        rows = measured if pool is None else measured.unionByName(pool)
-        ordered = rows.repartition("query_id").sortWithinPartitions("query_id")
-        state = stored(ordered.mapInArrow(lambda b: _by_group(b, ["query_id"], renew, kinds, names), schema), "pool")
-        todo = state.select("query_id", F.explode("links").alias("node"))
-        pool = state.withColumn("links", F.array().cast("array<long>"))
-        if todo.isEmpty():
-            break
-    rank = Window.partitionBy("query_id").orderBy("dist", "node")
-    ranked = pool.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("node").alias("vec_id"), F.col("dist").alias("score"))
+POOL_NAMES = ["query_id", "node", "vec", "dist", "links", "kind"]
+POOL_SCHEMA = "query_id long, node long, vec binary, dist double, links array<long>, kind int"
+POOL_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.int32()]
+#: Kinds of rows of a pool: the query itself with its vector, vectors measured before, vectors just met.
+QUERY, SEEN, MET = 0, 1, 2
+
+
+def renewed(rows: list[dict]) -> Iterator[tuple]:
+    """The rows of a query's next pool: the query, and the POOL nearest vectors with those links of new ones that it has not met."""
+    query = next((r for r in rows if r["kind"] == QUERY), None)
+    if query is None:
+        return
+    best = {r["node"]: (r["dist"], r["node"], ()) for r in rows if r["kind"] == SEEN}
+    met = list({r["node"]: r for r in rows if r["kind"] == MET and r["node"] not in best and r["node"] != query["query_id"]}.values())
+    if met:
+        x = np.frombuffer(b"".join(r["vec"] for r in met), "<f8").reshape(len(met), -1)
+        dists = np.sqrt(((x - np.frombuffer(query["vec"], "<f8")) ** 2).sum(axis=1))
+        best |= {r["node"]: (d, r["node"], r["links"]) for r, d in zip(met, dists.tolist(), strict=True)}
+    known = set(best) | {query["query_id"]}
+    yield query["query_id"], query["node"], query["vec"], None, [], QUERY
+    for dist, node, links in sorted(best.values())[:POOL]:
+        fresh = [x for x in links if x not in known]
+        known.update(fresh)
+        yield query["query_id"], node, None, dist, fresh, SEEN
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest other nodes of queries(query_id, vec), in blocks of queries of a bounded number."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if part:
-            nearest = search_block(graph, [(r["query_id"], bytes(r["vec"])) for r in part], k)
-            found = nearest if found is None else found.unionByName(nearest)
-    nothing = graph.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return nothing if found is None else found
+    """(query_id, vec_id, score): the k nearest nodes, other than its own, of each of queries(query_id, vec)."""
+    spark = graph.sparkSession
+    starts = [r[0] for r in graph.select("node").orderBy(F.xxhash64(F.lit("start"), "node")).limit(STARTS).collect()]
+    everyone = F.array(*map(F.lit, starts)).cast("array<long>")
+    own = queries.join(graph.select(F.col("node").alias("query_id"), "links"), "query_id", "left")
+    first = own.select("query_id", F.col("query_id").alias("node"), "vec", F.lit(None).cast("double").alias("dist"), F.array_union(F.coalesce("links", F.array().cast("array<long>")), everyone).alias("links"), F.lit(QUERY).alias("kind"))
+    pool = stored(first, "pool")
+    todo = pool.select("query_id", F.explode("links").alias("node")).filter("query_id <> node")
+    while not todo.isEmpty():
+        met = todo.join(graph, "node").select("query_id", "node", "vec", F.lit(None).cast("double").alias("dist"), "links", F.lit(MET).alias("kind"))
+        rows = pool.withColumn("links", F.array().cast("array<long>")).unionByName(met)
+        ordered = rows.repartition("query_id").sortWithinPartitions("query_id").select(*POOL_NAMES)
+        pool = stored(ordered.mapInArrow(lambda b: _by_group(b, ["query_id"], renewed, POOL_KINDS, POOL_NAMES), POOL_SCHEMA), "pool")
+        todo = pool.select("query_id", F.explode("links").alias("node"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "node"))
+    nearest = pool.filter(F.col("kind") == SEEN).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return nearest.select("query_id", F.col("node").alias("vec_id"), F.col("dist").alias("score"))
+
+
+def neighbours(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest others of those of vectors(vec_id, vec) whose ids asked(query_id) lists."""
+    nodes = collapsed(vectors, k)
+    graph = build_graph(nodes.vectors)
+    queries = vectors.join(asked, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), *same_vector(F.col("vec")))
+    queries = stored(queries.join(nodes.vectors.select(F.col("vec_id").alias("node"), "t1", "t2"), ["t1", "t2"]).select("query_id", "node"), "queries")
+    entered = nodes.vectors.join(queries.select(F.col("node").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    found = search(graph, entered.select(F.col("vec_id").alias("query_id"), "vec"), k)
+    itself = entered.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("other"), F.lit(0.0).alias("score"))
+    near = itself.unionByName(found.select(F.col("query_id").alias("node"), F.col("vec_id").alias("other"), "score"))
+    ids = nodes.members.join(nodes.vectors.select(F.col("vec_id").alias("other"), "t1", "t2"), ["t1", "t2"]).select("other", "vec_id")
+    enough = F.row_number().over(Window.partitionBy("node").orderBy("score", "vec_id"))
+    results = stored(near.join(ids, "other").withColumn("place", enough).filter(F.col("place") <= k + 1).select("node", "vec_id", "score"), "nearest")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    ranked = queries.join(results, "node").filter("vec_id <> query_id").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embeddings"))
-    queries = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "vec")
-    return search(build_graph(vectors), queries)
+    return neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id")))

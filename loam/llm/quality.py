@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, lean_batches, table
+from .common import give_back, lean_batches, spread_table, table
 
 BUCKETS = 16_384
 DIM = 32
@@ -238,7 +238,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     vectors, net = train(docs, labels)
     scored = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out"], vectors, net)

@@ -9,7 +9,8 @@ are cut there first, and a batch hands the library each different new segment on
 segments are remembered, up to a bound. `parity` compares with the reference implementation.
 
 Defined results: null texts count as empty; an empty text has no pieces and decodes to ''. Repeated rows
-are encoded one by one; extra columns are ignored; texts are encoded whole. The file must be at the same
+are encoded one by one; extra columns are ignored; texts are encoded whole. Without documents there are no
+rows. The file must be at the same
 path on every executor.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import TOKENIZERS, give_back, lean_batches, table
+from .common import TOKENIZERS, give_back, lean_batches, spread_table
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 SPACE = "▁"
@@ -110,10 +111,12 @@ def build(data: bytes) -> Tokenizer:
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
     steps: list = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A +| +\z"), "")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     steps.append(normalizers.Replace(" ", SPACE))
+    if model.squeeze:  # markers that the text itself ends with go as well
+        steps.append(normalizers.Replace(Regex(rf"{SPACE}+\z"), ""))
     tokenizer = Tokenizer(core)
     tokenizer.normalizer = normalizers.Sequence(steps)
     # Where no piece has the marker behind another character, texts can be cut before each run of markers.
@@ -139,7 +142,8 @@ class Encoder:
         model = Model(data)
         self.tokenizer, self.segments = build(data), segmentable(model)
         self.dummy = model.dummy_prefix
-        self.bytes = [bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode() for piece, _, kind in model.pieces]
+        shown = {UNKNOWN: lambda piece: " ⁇ ".encode(), CONTROL: lambda piece: b"", BYTE: lambda piece: bytes([int(piece[3:5], 16)])}
+        self.bytes = [shown.get(kind, lambda piece: piece.replace(SPACE, " ").encode())(piece) for piece, _, kind in model.pieces]
         self.opens = np.array([piece.startswith(SPACE) for piece, _, _ in model.pieces])
         alone = next((i for i, p in enumerate(model.pieces) if p[0] == SPACE), None)
         self.marker = {} if alone is None else {"": np.array([alone], "<i4").tobytes()}
@@ -192,7 +196,7 @@ class Encoder:
         for one in ids:
             try:
                 text = b"".join([self.bytes[i] for i in one]).decode()
-                found.append(text[1:] if self.dummy and text[:1] == " " else text)
+                found.append(text[1:] if self.dummy and one and self.opens[one[0]] else text)
             except UnicodeDecodeError:
                 found.append(self.tokenizer.decode(one, skip_special_tokens=False))
         return found
@@ -277,4 +281,4 @@ def encode_report(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode_report(spread_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, give_back, lean_batches, stored, table
+from .common import broadcast_if_small, give_back, lean_batches, spread_table, stored
 from .decontaminate import row_keys
 from .near_dedup import mixed
 
@@ -78,7 +78,7 @@ class Hashes:
     """Hashes of all strings within some bytes."""
 
     def __init__(self, data: np.ndarray) -> None:
-        powers, self.inverse, codes = _powers(max(4 * PIECE, 1 << len(data).bit_length()))
+        powers, self.inverse, codes = _powers(max(2 * PIECE + (1 << 13), len(data) + 1))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(codes[data] * powers[: len(data)], out=self.sums[1:])
 
@@ -429,4 +429,4 @@ def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_report(table(spark, sf_dir, "documents"))
+    return removal_report(spread_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -6,10 +6,13 @@ counts, inner nodes the sums of characters and tokens below. An edit finds its p
 every pre-token that cannot see the edit, re-encodes from a little before it until the new boundaries
 fall on old ones again, and renews the sums on the path to the root only.
 
+Trees are kept: `grow` makes a table of them, leaves as arrays, and `apply_edits` makes the next such table
+from it and from edits, without encoding what the edits don't touch.
+
 Edits are (start, length, replacement) in code points, applied in turn to the text as it then is; a start
 or length beyond the text is cut to it. Defined results: a null text counts as empty (0 tokens); null
 edits are none; null fields of an edit are 0, 0 and ''. Repeated rows are counted one by one; extra
-columns are ignored; texts are counted whole.
+columns are ignored; texts are counted whole. Without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chat_format import PATTERN, VOCAB, encoding
-from .common import table
+from .common import give_back, lean_batches, spread_table, stored
 
 LEAF = 256
 FAN_OUT = 32
@@ -76,14 +80,32 @@ def _grouped(nodes: list[Node]) -> list[Node]:
 class CountTree:
     """Token count of one text under edits."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, lengths: list[int], counts: list[int], counter: Counter) -> None:
+        """From the lengths and counts of the text's pre-tokens."""
         self.text, self.counter, self.reencoded = text, counter, 0
-        pieces = counter.pattern.findall(text)
-        nodes = _leaves([len(p) for p in pieces], counter.counts(pieces)) or [Node(None, [], [])]
+        nodes = _leaves(lengths, counts) or [Node(None, [], [])]
         while len(nodes) > 1:
             nodes = _grouped(nodes)
         self.root = nodes[0]
 
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> CountTree:
+        """By encoding the whole text."""
+        pieces = counter.pattern.findall(text)
+        return cls(text, [len(p) for p in pieces], counter.counts(pieces), counter)
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Lengths and counts of all pre-tokens."""
+        nodes, lengths, counts = [self.root], [], []
+        while nodes:
+            node = nodes.pop()
+            if node.children is None:
+                lengths += node.lengths
+                counts += node.counts
+            else:
+                nodes += reversed(node.children)
+        return lengths, counts
+
     @property
     def tokens(self) -> int:
         return self.root.tokens
@@ -182,36 +204,64 @@ def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.join(listed, "doc_id", "left")
 
 
-def edit_counts(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
-    """docs(doc_id, text, edits array<struct<start, length, replacement>>) with its token counts.
+TREE = "text string, lengths array<int>, counts array<int>, n_tokens long"
+
+
+def grow(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
+    """doc_id, text, lengths and counts (the tree's leaves), n_tokens of docs(doc_id, text)."""
+    schema = T.StructType([*docs.select("doc_id").schema, *T.StructType.fromDDL(TREE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocab)
+        for batch in batches:
+            leaves = [(p, counter.counts(p)) for p in map(counter.pattern.findall, batch.column("text").to_pylist())]
+            lengths, counts = ([[len(x) for x in p] for p, _ in leaves], [c for _, c in leaves])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts)), pa.array(map(sum, counts), pa.int64())], schema.names)
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def apply_edits(trees: DataFrame, vocab: str = VOCAB) -> DataFrame:
+    """The trees(doc_id, text, lengths, counts, n_tokens, edits array<struct<start, length, replacement>>) after their edits.
 
-    n_tokens of the text, n_tokens_after the edits, n_chars_after, and n_reencoded: pre-tokens that the
-    edits made necessary to encode again.
+    Also n_tokens_before, and n_reencoded: pre-tokens that the edits made necessary to encode again.
     """
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "edits")
-    schema = docs.select("doc_id").schema
-    for name in ("n_tokens", "n_tokens_after", "n_chars_after", "n_reencoded"):
-        schema = schema.add(name, "long")
+    columns = ["doc_id", "text", "lengths", "counts", "edits"]
+    schema = T.StructType([*trees.select("doc_id").schema, *T.StructType.fromDDL(TREE)]).add("n_tokens_before", "long").add("n_reencoded", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocab)
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
-                tree = CountTree(text.as_py(), counter)
+            for text, lengths, counts, edits in zip(*(batch.column(c) for c in columns[1:]), strict=True):
+                tree = CountTree(text.as_py(), lengths.as_py(), counts.as_py(), counter)
                 before = tree.tokens
                 for edit in edits.as_py() or []:
                     edit = edit or {}
                     tree.edit(edit.get("start") or 0, edit.get("length") or 0, edit.get("replacement") or "")
-                rows.append((before, tree.tokens, len(tree.text), tree.reencoded))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], schema.names)
+                rows.append((tree.text, *tree.leaves(), tree.tokens, before, tree.reencoded))
+            kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], schema.names)
+        give_back()
 
-    return source.mapInArrow(run, schema)
+    lean_batches(trees.sparkSession)
+    return trees.select(*columns).mapInArrow(run, schema)
+
+
+def edit_counts(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
+    """docs(doc_id, text, edits) with its token counts: n_tokens, n_tokens_after the edits, n_chars_after, and n_reencoded.
+
+    The trees are stored before they are edited; the edits travel with their documents.
+    """
+    docs = docs.select(F.struct("doc_id", "edits").alias("doc_id"), "text")
+    trees = stored(grow(docs, vocab), "count-trees")
+    after = apply_edits(trees.select("doc_id.doc_id", "text", "lengths", "counts", "doc_id.edits"), vocab)
+    return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("long").alias("n_chars_after"), "n_reencoded")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, and again after three edits: in its middle, at its quarter, at its end."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     edit = lambda start, length, text: F.struct(start.cast("long").alias("start"), F.lit(length).cast("long").alias("length"), F.lit(text).alias("replacement"))
     edits = F.array(edit(F.floor(size / 2), 5, " edited  words"), edit(F.floor(size / 4), 7, ""), edit(size, 0, "\n The end."))

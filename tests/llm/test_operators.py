@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from loam.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, neighbours, quality, sentencepiece_codec, suffix_dedup, token_counts
@@ -153,7 +155,7 @@ def test_edited_counts_equal_full_counts():
     rng = random.Random(4)
     parts = ["word", " ", "  ", "\n", "'ll", "é", "123", "!?", "\t \n ", "日本", "a" * 40]
     for _ in range(60):
-        tree = token_counts.CountTree("".join(rng.choices(parts, k=rng.choice([0, 1, 30, 2000]))), counter)
+        tree = token_counts.CountTree.of("".join(rng.choices(parts, k=rng.choice([0, 1, 30, 2000]))), counter)
         for _ in range(5):
             tree.edit(rng.randrange(len(tree.text) + 2), rng.choice([0, 1, 7, 900]), "".join(rng.choices(parts, k=rng.choice([0, 1, 5, 1500]))))
             assert tree.tokens == len(counter.encoding.encode_ordinary(tree.text))
@@ -161,11 +163,31 @@ def test_edited_counts_equal_full_counts():
 
 
 def test_small_edits_reencode_little():
-    tree = token_counts.CountTree("some words and more " * 5_000, token_counts.Counter(token_counts.VOCAB))
+    tree = token_counts.CountTree.of("some words and more " * 5_000, token_counts.Counter(token_counts.VOCAB))
     tree.edit(50_000, 3, "x")
     assert tree.reencoded < 20
 
 
+def test_saved_trees_take_a_second_batch_of_edits(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"word{rng.randrange(900)}" for _ in range(n)) for n in (0, 3, 4_000, 20_000)]
+    trees = token_counts.stored(token_counts.grow(documents(spark, texts)), "trees")
+    full = token_counts.Counter(token_counts.VOCAB).encoding.encode_ordinary
+    for batch in range(2):
+        edits = [(i, seq, rng.randrange(len(t) + 1), rng.choice([0, 9, 40]), f" new words {batch} ") for i, t in enumerate(texts) for seq in range(2)]
+        listed = spark.createDataFrame(edits, "doc_id long, seq int, start long, length long, replacement string")
+        trees = token_counts.stored(token_counts.apply_edits(token_counts.attach_edits(trees, listed)).drop("n_tokens_before"), "trees")
+        for i, _, start, length, new in edits:
+            texts[i] = texts[i][:start] + new + texts[i][start + length :]
+        rows = {r["doc_id"]: r for r in trees.collect()}
+        assert [rows[i]["text"] for i in range(4)] == texts
+        assert [rows[i]["n_tokens"] for i in range(4)] == [len(full(t)) for t in texts]
+        assert all(sum(rows[i]["counts"]) == rows[i]["n_tokens"] and sum(rows[i]["lengths"]) == len(texts[i]) for i in range(4))
+        assert max(r["n_reencoded"] for r in rows.values()) < 60  # of up to 20,000 pre-tokens
+        trees = trees.drop("n_reencoded")
+    assert token_counts.edit_counts(token_counts.attach_edits(documents(spark, texts).limit(0), listed)).count() == 0
+
+
 def test_token_counts_of_odd_inputs(spark, odd):
     edits = spark.createDataFrame([(1, 1, 0, 5, "b"), (1, 2, None, None, None), (2, 1, 99, 9, "new")], "doc_id long, seq int, start long, length long, replacement string")
     rows = token_counts.edit_counts(token_counts.attach_edits(odd, edits)).collect()
@@ -199,18 +221,34 @@ def test_neighbour_recall(spark):
 def test_neighbours_of_odd_inputs(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, [float("nan"), 1.0]), (300, None), (400, [1.0, None]), (500, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 4.0])]
     vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vec", F.lit(1)))
-    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    found = [tuple(r) for r in neighbours.search(neighbours.build_graph(vectors), queries).orderBy("rank").collect()]
+    asked = spark.createDataFrame([(0,), (100,), (400,)], "query_id long")
+    found = [tuple(r) for r in neighbours.neighbours(vectors, asked).orderBy("rank").collect()]
     assert found == [(0, 1, 1, 0.0), (0, 2, 2, float(np.sqrt(20.0)))]
     nothing = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert neighbours.search(neighbours.build_graph(nothing), nothing.withColumnRenamed("vec_id", "query_id")).count() == 0
+    assert neighbours.neighbours(nothing, asked).count() == 0
+
+
+def test_neighbours_in_many_small_groups_and_among_copies(spark):
+    """Groups smaller than the lists have no links out; a third of all rows is one vector; ties go to smaller ids."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(80, 16)), 15, axis=0) + 0.001 * rng.normal(size=(1_200, 16)), np.ones((600, 16))])
+    ids = rng.permutation(len(x)).tolist()
+    vectors = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"))
+    asked = [i for i in ids if i % 50 == 0]
+    found = {}
+    for r in neighbours.neighbours(vectors, spark.createDataFrame([(q,) for q in asked], "query_id long")).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    truth = brute_neighbours(ids, x, asked, 10)
+    assert np.mean([len(set(found[q].values()) & set(truth[q])) / 10 for q in asked]) >= 0.97
+    copies = [q for q in asked if ids.index(q) >= 1_200]
+    assert copies and all([found[q][r] for r in range(1, 11)] == truth[q] for q in copies)
 
 
 @pytest.mark.parametrize("offset, scale", [(1000.0, 0.1), (0.0, 1e6)])
 def test_neighbour_lists_of_offset_and_large_vectors(spark, offset, scale):
     x = offset + scale * np.random.default_rng(5).normal(size=(60, 8))
     vectors = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
-    graph = neighbours.merged_lists(neighbours._as_merged(neighbours.first_lists(vectors, 60), False))
+    graph = neighbours.merged_lists(neighbours._as_merged(neighbours.first_lists(vectors, 60, neighbours.centring(vectors)), False))
     got = {r["node"]: r["ids"][:5] for r in graph.collect()}
     truth = brute_neighbours(list(range(60)), x, list(range(60)), 5)
     assert np.mean([len(set(got.get(q, [])) & set(truth[q])) / 5 for q in truth]) > 0.95
@@ -422,6 +460,39 @@ def test_whole_texts_of_long_licences_are_known(spark):
 # 9 SentencePiece
 
 
+def unigram_file(path, charsmap, squeeze, fallback):
+    """A Unigram model written field by field: pieces with scores, the trainer's and the normaliser's settings."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        if isinstance(value, bytes):
+            return varint(number << 3 | 2) + varint(len(value)) + value
+        return varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+    listed = "▁the ▁of ▁and th he in er an ▁a ▁t ing tion es ▁ e t a o i n s r h l d u c m f é 日 ▁re re on ffi 1 2 3 A B".split(" ")
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback), *((w, -1.0 - 0.37 * i, 1) for i, w in enumerate(listed))]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces) + field(2, field(3, 1) + field(35, int(fallback)))
+    path.write_bytes(data + field(3, field(2, charsmap) + field(3, 1) + field(4, int(squeeze)) + field(5, 1)))
+    return str(path)
+
+
+@pytest.mark.parametrize("mapped", [True, False])
+@pytest.mark.parametrize("fallback, squeeze", [(True, True), (True, False), (False, True)])
+def test_unigram_parity(tmp_path, mapped, fallback, squeeze):
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(sentencepiece_codec.fields(dict(sentencepiece_codec.fields(rules))[3]))[2] if mapped else b""
+    path = unigram_file(tmp_path / "unigram.model", charsmap, squeeze, fallback)
+    ours, theirs = sentencepiece_codec.Encoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(9)
+    parts = ["the", " ", "  ", "other", "relation", "é", "日本", "Ａ", "ﬃ", "ﬁ", "¼", "①", "\xa0", "\u3000", "\t", "\n", "▁", "\u200b", "123", "xyz"]
+    texts = ["", " ", "\xa0the\u3000of", *("".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(300))]
+    ids = [np.frombuffer(x, "<i4").tolist() for x in ours.encode(texts)]
+    assert ids == theirs.encode(texts)
+    assert ours.decode(ids) == [theirs.decode(x) for x in ids]
+
+
 def test_sentencepiece_parity(spark, odd):
     texts = [*ODD_TEXTS, "  a  b ", " lead", "trail ", "▁x ▁", "<s></s><unk>", "<0x41>", "日本語   ok", "tab\tnew\nline", "퟿"]
     rows = sentencepiece_codec.encode_report(documents(spark, texts)).collect()
