@@ -1,9 +1,10 @@
-"""Comparing a large table with every row of a stated set, whatever the set's size."""
+"""Comparing a large table with every row of a stated set; frames that several parts of a plan read."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +22,32 @@ def against(large: DataFrame, stated: DataFrame, key: str, condition: Column | N
     cut = [stated.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) if parts > 1 else stated for i in range(parts)]
     pairs = [large.join(F.broadcast(part), condition, "inner") if condition is not None else large.crossJoin(F.broadcast(part)) for part in cut]
     return reduce(DataFrame.unionByName, pairs)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df marked for broadcast when it has at most max_rows rows; else the join is left to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work on single rows: dealt to as many tasks as run at once, if it comes from fewer files than that.
+
+    A file with one row group is one task, whatever its size. Tables of many files are left as they are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+
+
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df held by the executors, in memory or on disk, as several parts of a plan read it; its lineage stays."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> None:
+    """Let go of what is kept. A result that still needs it is computed again."""
+    while _kept:
+        _kept.pop().unpersist()

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import priority_multiplier, tokens
-from loam.operators.blocks import against
+from loam.operators.blocks import against, broadcast_if_small, kept, spread
 
 # BM25 parameters, fusion constant, candidates a ranker, limits.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION_K, CANDIDATES, LIMIT, MIN_SOURCES, MAX_MERGED = 60, 20, 5, 3, 20
+#: Different terms of all queries up to which they go to every task.
+MAX_ASKED = 200_000
 
 
 def top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -39,24 +41,42 @@ def passes(topic: Column | None = None, student_type: Column | None = None, audi
     return keep
 
 
+def postings(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, chunk_id, dl, df, tf) of corpus(chunk_id, content), from one pass over it, kept on the executors.
+
+    Of terms that are asked for (term), a row for each chunk that has it, with df 1; of every other term one
+    row with its number of chunks as df and no chunk; where the term is null, df is the number of all chunks
+    and tf that of all their words. So only what a query needs leaves the tasks.
+    """
+    rows = spread(corpus.select("chunk_id", "content")).select("chunk_id", F.sort_array(tokens(F.col("content"))).alias("ts"))
+    word = lambda i: F.element_at("ts", i)
+    first = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (i == 1) | (word(i) != word(F.greatest(i - 1, F.lit(1)))))
+    rows = rows.withColumn("edges", F.when(F.size("ts") > 0, first).otherwise(F.array().cast("array<int>")))  # where the sorted words change
+    counted = F.transform("edges", lambda i, at: F.struct(word(i).alias("term"), (F.coalesce(F.get("edges", at + 1), F.size("ts") + 1) - i).cast("long").alias("tf"), F.size("ts").alias("dl")))
+    all_words = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("ts").cast("long").alias("tf"), F.size("ts").alias("dl")))
+    listed = rows.select("chunk_id", F.explode(F.concat(all_words, counted)).alias("p"))
+    few = broadcast_if_small(asked.select(F.col("term").alias("_asked")).distinct(), MAX_ASKED)
+    marked = listed.select("chunk_id", "p.*").join(few, F.col("term") == F.col("_asked"), "left")
+    place = lambda c: F.when(F.col("_asked").isNotNull(), F.col(c)).alias(c)
+    return kept(marked.groupBy("term", place("chunk_id"), place("dl")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all matches with a positive score, rounded to 6 decimals.
 
-    corpus(chunk_id, content), queries(query_id, text). One pass makes the postings; statistics are
-    grouped from these; query terms meet postings by term. Frequent terms with a negative weight get a
-    quarter of the mean weight.
+    corpus(chunk_id, content), queries(query_id, text). Frequent terms with a negative weight get a
+    quarter of the mean weight of all terms.
     """
-    lengths = corpus.select("chunk_id", tokens(F.col("content")).alias("ts"))
-    postings = lengths.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    index = postings(corpus, asked)
+    totals = index.filter("term IS NULL").select(F.col("df").alias("n"), (F.col("tf") / F.col("df")).alias("avgdl"))
+    frequency = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weights = frequency.crossJoin(F.broadcast(totals)).select("term", "avgdl", raw.alias("idf"))
     mean = weights.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     used = asked.join(weights, "term").crossJoin(F.broadcast(mean))
     used = used.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    met = used.join(postings, "term")
+    met = used.join(index.filter("chunk_id IS NOT NULL").select("term", "chunk_id", "dl", "tf"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.filter("score > 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import retrieval as R
+from loam.operators.blocks import kept
 from loam.plans.registry import query
 from loam.plans.texts import TOKENS_SQL
 from loam.sources.tables import CORPUS_SQL, corpus, table
@@ -69,7 +70,7 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, chunk_id, score, rank): the 20 best documents of every benchmark item."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.top(R.bm25(docs, items), ["query_id"], "score", "chunk_id", 20)
+    return kept(R.top(R.bm25(docs, items), ["query_id"], "score", "chunk_id", 20))
 
 
 @query("r1_bm25_batch_topk", f"WITH {BATCH_SQL} SELECT query_id AS item_id, chunk_id AS doc_id, score, rank FROM ranked")
@@ -190,7 +191,7 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("query_terms"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     found = batch(spark, sf_dir).select("query_id", "chunk_id").join(items, "query_id").join(docs, "chunk_id")
-    return R.rerank(found, 8).select("query_id", "chunk_id", "content", "rerank_score", "rank")
+    return kept(R.rerank(found, 8).select("query_id", "chunk_id", "content", "rerank_score", "rank"))
 
 
 @query("r9_w5_rerank", f"WITH {RERANKED_SQL} SELECT query_id, chunk_id, rerank_score, rank FROM reranked")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import nsmallest
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators.blocks import spread
 from loam.plans.registry import query
 from loam.sources.tables import table
 
@@ -241,6 +249,12 @@ best AS (SELECT doc_id, phrase, max(score) AS score, min(struct_pack(part := par
 SELECT doc_id, rank, phrase, score FROM (SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rank FROM best) WHERE rank <= 10"""
 
 
+#: Words of a phrase that is scored, at most.
+MAX_PHRASE = 4
+_STOPS = frozenset(T.PHRASE_STOPWORDS)
+_WORD = re.compile(r"[a-z][a-z'-]*\Z")
+
+
 @query("t12_rake_keywords", _RAKE_SQL)
 def rake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best phrases of each document by word degree over frequency; phrases of over four words score words only."""
@@ -248,16 +262,36 @@ def rake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(docs: DataFrame, count: int = 10) -> DataFrame:
-    from pyspark.sql import Window
-
-    parts = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"[.!?,;:()\[\]{}\"\n]+")).alias("part", "p"))
-    listed = parts.select("doc_id", "part", F.posexplode(F.filter(F.split("p", r"\s+"), lambda x: x != "")).alias("at", "w"))
-    stops = F.col("w").isin(*T.PHRASE_STOPWORDS) | ~F.col("w").rlike(r"^[a-z][a-z'-]*$")
-    runs = listed.withColumn("stops", stops).withColumn("run", F.sum(F.col("stops").cast("int")).over(Window.partitionBy("doc_id", "part").orderBy("at")))
-    phrases = runs.filter(~F.col("stops")).groupBy("doc_id", "part", "run").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("ws"), F.count("*").alias("n"))
-    worded = phrases.select("doc_id", "part", "run", "n", F.col("ws")[0]["at"].alias("first_at"), F.array_join(F.col("ws.w"), " ").alias("phrase"), F.explode("ws.w").alias("w"))
-    scores = worded.groupBy("doc_id", "w").agg((F.sum("n") / F.count("*")).alias("score"))
-    scored = worded.filter("n <= 4").join(scores, ["doc_id", "w"]).groupBy("doc_id", "part", "run", "phrase", "first_at").agg(F.round(F.sum("score"), 6).alias("score"))
-    best = scored.groupBy("doc_id", "phrase").agg(F.max("score").alias("score"), F.min(F.struct("part", "first_at")).alias("place"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "place")).cast("long"))
-    return ranked.filter(F.col("rank") <= count).select("doc_id", "rank", "phrase", "score")
+    """doc_id, rank, phrase, score of the best phrases of docs(doc_id, text), a batch of documents at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best_phrases(text or "", count) for text in batch.column("low").to_pylist()]
+            owner = batch.column("doc_id").take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+            ranks, phrases, scores = ([y for x in found for y in column(x)] for column in (lambda x: range(1, len(x) + 1), lambda x: [p for p, _ in x], lambda x: [v for _, v in x]))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(ranks, pa.int64()), pa.array(phrases, pa.string()), pa.array(scores, pa.float64())], names)
+
+    schema = docs.select("doc_id").schema.add("rank", "long").add("phrase", "string").add("score", "double")
+    names = schema.names
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.lower("text").alias("low")).mapInArrow(run, schema)
+
+
+def best_phrases(text: str, count: int) -> list[tuple[str, float]]:
+    """The best phrases of a text in lower case with their scores: runs of words between stop words and punctuation.
+
+    A word scores the mean number of words of the phrases that it is in; a phrase of up to MAX_PHRASE words the sum of
+    its words' scores. Ties go to the phrase that comes first.
+    """
+    phrases = []
+    for part in re.split(r"[.!?,;:()\[\]{}\"\n]+", text):
+        for stop, run in groupby(re.split(r"[ \t\n\x0b\f\r]+", part), lambda w: w == "" or w in _STOPS or not _WORD.match(w)):
+            if not stop:
+                phrases.append(tuple(run))
+    sizes: dict[str, list[int]] = {}
+    for phrase in phrases:
+        for w in phrase:
+            sizes.setdefault(w, []).append(len(phrase))
+    scores = {w: sum(x) / len(x) for w, x in sizes.items()}
+    first = {phrase: at for at, phrase in reversed(list(enumerate(phrases))) if len(phrase) <= MAX_PHRASE}
+    rated = ((float(Decimal(repr(sum(scores[w] for w in p))).quantize(Decimal("0.000001"), ROUND_HALF_UP)), at, p) for p, at in first.items())
+    return [(" ".join(p), score) for score, _, p in nsmallest(count, rated, key=lambda x: (-x[0], x[1]))]

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.operators.blocks import release
+
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -30,6 +32,7 @@ def ship(spark: SparkSession) -> None:
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        release()  # what the query before it kept
         return query(spark, sf_dir)
 
     return run
