@@ -82,14 +82,28 @@ def whole_word(text: Column, word: str) -> Column:
     return text.rlike(f"(^|[^a-z0-9_]){word}($|[^a-z0-9_])")
 
 
+def _decoded(part: Column) -> Column:
+    """A part of a query with plus signs and percent codes resolved; where codes are malformed, with plus signs only."""
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(part: Column) -> Column:
+    """The one spelling of a part of a query: letters, digits and _.-~ stay, spaces become plus signs."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(url: Column) -> Column:
-    """Lower-case scheme, host and path; no fragment, tracking or valueless parameters; no trailing slash."""
+    """Lower-case scheme, host and path; no fragment, tracking or valueless parameters; no trailing slash.
+
+    Names and values of parameters are decoded and encoded again, so each has one spelling.
+    """
     bare = F.regexp_replace(url, "#.*$", "")
     path = F.lower(F.regexp_replace(bare, r"\?.*$", ""))
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: (F.instr(p, "=") > 0) & (F.regexp_extract(p, "=(.*)$", 1) != ""))
-    kept = F.filter(pairs, lambda p: ~F.substring_index(p, "=", 1).isin(*TRACKING_PARAMS))
-    joined = F.array_join(kept, "&")
+    split = F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("value")))
+    kept = F.filter(split, lambda p: ~p["name"].isin(*TRACKING_PARAMS))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
     return F.regexp_replace(F.when(joined != "", F.concat(path, F.lit("?"), joined)).otherwise(path), "/+$", "")
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import normalize_url
+from loam.operators.blocks import kept
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the checkpoint folder; held by the executors where the session has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else kept(df)
 
 
 def origin(url: Column) -> Column:
@@ -16,19 +22,40 @@ def absolute(base: Column, href: Column) -> Column:
     """href against base: absolute, scheme-relative, root-relative, query-only or relative to base's folder."""
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(^https?://[^/]+/.*/|^https?://[^/]+/?)[^/]*$", "$1")
     rooted = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(href.rlike("^https?://"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), href))
+    joined = (
+        F.when(F.startswith(href, F.lit("/")), F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), href))
         .when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
+        .when(href == "", base)
         .otherwise(F.concat(rooted, href))
     )
+    whole = F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
+    return F.coalesce(whole, without_dots(joined))
+
+
+def without_dots(url: Column) -> Column:
+    """url with the segments . and .. of its path resolved."""
+    parts = lambda i: F.regexp_extract(url, r"^(?i)(https?://[^/?#]*)/([^?#]*)(.*)$", i)
+    segments = F.split(parts(2), "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    resolved = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    ended = F.concat(resolved, F.when(parts(2).rlike(r"(^|/)\.\.?$") & (resolved != ""), "/").otherwise(""))
+    return F.when(parts(2).rlike(r"(^|/)\.\.?(/|$)"), F.concat(parts(1), F.lit("/"), ended, parts(3))).otherwise(url)
+
+
+#: Anchors' targets in double quotes, single quotes or none.
+_HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
+def _attribute(value: Column) -> Column:
+    """An attribute's value without quotes, outer blanks and the character references that URLs have."""
+    bare = F.regexp_replace(F.regexp_replace(value, r"""^["']|["']$""", ""), "&(?:amp|#38|#x26);", "&")
+    return F.regexp_replace(F.regexp_replace(bare, "&(?:quot|#34|#x22);", '"'), r"^\s+|\s+$", "")
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(url, link): different normalised targets of the anchors of pages(url, html)."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    found = pages.select("url", F.explode(F.transform(hrefs, lambda h: F.trim(h))).alias("href"))
+    hrefs = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
+    found = pages.select("url", F.explode(F.transform(hrefs, _attribute)).alias("href"))
     kept = found.filter(~F.col("href").rlike("^(mailto:|tel:|javascript:|#)"))
     return kept.select("url", normalize_url(absolute(F.col("url"), F.col("href"))).alias("link")).distinct()
 
@@ -58,14 +85,14 @@ def cascade(pages: DataFrame) -> DataFrame:
     early = F.when(F.col("in_manifest"), "already in manifest").when(F.col("is_error"), "error page").when(F.col("is_thin"), "thin content")
     staged = pages.withColumn("reason", early).select("seq", "url", "canonical", "content_hash", "unclassifiable", "reason")
     survivors = staged.filter("reason IS NULL")
-    undecided = survivors.filter("NOT unclassifiable").select("seq", "url", "canonical", "content_hash").persist()
+    undecided = cut(survivors.filter("NOT unclassifiable").select("seq", "url", "canonical", "content_hash"))
     accepted = undecided.limit(0)
     least = lambda df, key: df.groupBy(key).agg(F.min("seq").alias("_seq"))
     while not undecided.isEmpty():
         winners = undecided.join(least(undecided, "canonical").withColumnRenamed("_seq", "_a"), "canonical").join(least(undecided, "content_hash").withColumnRenamed("_seq", "_b"), "content_hash")
-        winners = winners.filter("seq = _a AND seq = _b").select("seq", "url", "canonical", "content_hash").persist()
-        accepted = accepted.unionByName(winners).persist()
-        undecided = undecided.join(winners.select("canonical"), "canonical", "left_anti").join(winners.select("content_hash"), "content_hash", "left_anti").select(*winners.columns).persist()
+        winners = cut(winners.filter("seq = _a AND seq = _b").select("seq", "url", "canonical", "content_hash"))
+        accepted = accepted.unionByName(winners)
+        undecided = cut(undecided.join(winners.select("canonical"), "canonical", "left_anti").join(winners.select("content_hash"), "content_hash", "left_anti").select(*winners.columns))
     by = lambda key, name: accepted.select(F.col(key), F.col("seq").alias(f"_{name}_seq"), F.col("url").alias(f"_{name}"))
     judged = survivors.join(by("canonical", "c"), "canonical", "left").join(by("content_hash", "h"), "content_hash", "left")
     reason = (
@@ -84,19 +111,28 @@ def reason_counts(decided: DataFrame) -> DataFrame:
     return decided.filter("status = 'rejected'").groupBy(key.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
-def bounded_search(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
+def same_site(seed_url: Column, prefixes: Column, link: Column) -> Column:
+    """Whether a link stays on the host of its seed, and under one of the seed's path prefixes if it has any."""
+    path = F.regexp_replace(F.regexp_replace(link, r"(?i)^https?://[^/?#]+", ""), "[?#].*$", "")
+    under = F.exists(prefixes, lambda p: F.startswith(path, p))
+    return (origin(link) == origin(seed_url)) & (prefixes.isNull() | (F.size(prefixes) <= 0) | under)
+
+
+def bounded_search(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, keep: Column | None = None) -> DataFrame:
     """(seed, node, depth): nodes that each seed reaches over edges(source, target), nearest first, at most max_pages.
 
-    Visited nodes are per seed. A level's nodes meet the edges once; nodes beyond a seed's bound are not
-    searched from, as they come after all that are.
+    Visited nodes are per seed. keep: which links of a seed are followed, of its columns and `target`. A level
+    takes no more nodes than its seed has pages left, so that none grows beyond the bound.
     """
-    spark = seeds.sparkSession
-    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    within = Window.partitionBy("seed").orderBy("node")
+    reached = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     frontier = reached
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("source")).select("seed", F.col("target").alias("node")).distinct()
-        fresh = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = fresh.checkpoint() if spark.sparkContext.getCheckpointDir() else fresh.persist()
+        step = frontier.select("seed", "node").join(edges, F.col("node") == F.col("source")).join(seeds, "seed")
+        step = (step.filter(keep) if keep is not None else step).select("seed", F.col("target").alias("node")).distinct()
+        fresh = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
+        left = reached.groupBy("seed").agg((F.lit(max_pages) - F.count("*")).alias("_left"))
+        chosen = fresh.join(left, "seed").withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= F.col("_left"))
+        frontier = cut(chosen.select("seed", "node", F.lit(depth).alias("depth")))
         reached = reached.unionByName(frontier)
-    order = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))
-    return reached.withColumn("_n", order).filter(F.col("_n") <= max_pages).drop("_n")
+    return reached

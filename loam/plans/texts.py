@@ -39,10 +39,12 @@ CLEAN_SQL = (
     r" '\r\n?', chr(10), 'g'), '[ \t\x{{A0}}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' +([.,;:!?])', '\1', 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 )
 TITLE_SQL = r"regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
+_RECODED_SQL = "replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+')"
 NORM_SQL = f"""norm AS (SELECT page_id, url, rtrim(CASE WHEN q <> '' THEN path || '?' || q ELSE path END, '/') AS norm_url FROM (
   SELECT page_id, url, lower(regexp_replace(bare, '\\?.*$', '')) AS path,
-    array_to_string(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: contains(p, '=') AND regexp_extract(p, '=(.*)$', 1) <> ''
-      AND NOT list_contains({_sql_list(T.TRACKING_PARAMS)}, split_part(p, '=', 1))), '&') AS q
+    array_to_string(list_transform(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: contains(p, '=') AND regexp_extract(p, '=(.*)$', 1) <> ''
+      AND NOT list_contains({_sql_list(T.TRACKING_PARAMS)}, url_decode(replace(split_part(p, '=', 1), '+', ' ')))),
+      lambda p: {_RECODED_SQL.format("split_part(p, '=', 1)")} || '=' || {_RECODED_SQL.format("regexp_extract(p, '=(.*)$', 1)")}), '&') AS q
   FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages)))"""
 TOKENS_SQL = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import parse_qsl, urldefrag, urlencode, urlparse, urlunparse
 
 import pytest
 from hypothesis import given, settings
@@ -24,6 +25,19 @@ def test_normalize_url(spark, url, wanted):
     assert values(spark, [url], T.normalize_url(F.col("x"))) == [wanted]
 
 
+def plainly_normalised(url):
+    parts = urlparse(urldefrag(url)[0])
+    pairs = [(k, v) for k, v in parse_qsl(parts.query) if k not in T.TRACKING_PARAMS]
+    return urlunparse((parts.scheme.lower(), parts.netloc.lower(), parts.path.lower(), "", urlencode(pairs), "")).rstrip("/")
+
+
+def test_normalize_url_gives_parameters_one_spelling(spark):
+    queries = ["q=a%20b", "q=a+b", "q=a b", "q=%41%7e*_-.", "q=caf%C3%A9&r=é", "a=1&a=2&utm_source=x", "q=1=2&r", "=x&y=", "utm%5Fsource=x&z=%26", "q=%2B&p=100%25", ""]
+    urls = [f"https://Example.org/Some/Path/?{q}#f" for q in queries]
+    assert values(spark, urls, T.normalize_url(F.col("x"))) == [plainly_normalised(u) for u in urls]
+    assert values(spark, ["https://a.org/x?q=100%&r=%zz"], T.normalize_url(F.col("x"))) == ["https://a.org/x?q=100%25&r=%25zz"]
+
+
 def test_clean_text_matches_the_python_version(spark):
     raw = ["  a\x07  b \r\n\r\n\r\n\r\nc  ,d . ", "", "\n\n x \n", "plain"]
     assert values(spark, raw, T.clean_text(F.col("x"))) == [clean(x) for x in raw]
@@ -74,17 +88,17 @@ def test_chunks_overlap_and_reject_bad_sizes():
 
 
 def test_small_sections_merge_forward_and_backward():
-    path = ["Registration", "Holds"]
-    assert merged_sections([(["a"], "x" * 12), (["b"], "y" * 28), (path, "z" * 61)], 60) == [(path, "x" * 12 + "\n\n" + "y" * 28 + "\n\n" + "z" * 61)]
-    assert merged_sections([(["a"], "x" * 70), (["b"], "y")], 60) == [(["a"], "x" * 70 + "\n\ny")]
-    assert merged_sections([(["a"], "x"), (["b"], "y")], 60) == [(["b"], "x\n\ny")]
+    path = ["Library", "Loans"]
+    assert merged_sections([(["a"], "x" * 7), (["b"], "y" * 19), (path, "z" * 45)], 40) == [(path, "x" * 7 + "\n\n" + "y" * 19 + "\n\n" + "z" * 45)]
+    assert merged_sections([(["a"], "x" * 53), (["b"], "y")], 40) == [(["a"], "x" * 53 + "\n\ny")]
+    assert merged_sections([(["a"], "x"), (["b"], "y")], 40) == [(["b"], "x\n\ny")]
 
 
 PAGE = """<html><head><title>T &amp; x</title><link rel="canonical" href="/c"><meta property="article:modified_time" content="2024-01-02T03:04:05Z"></head><body>
 <a href="#main">Skip to main content</a><header>menu</header><div class="x sr-only">hidden</div><p>Intro with <a href="/z">a link</a>. More</p>
 <h1>One</h1><p>para <b>bold</b> end .</p><h2><span>A</span> Holds</h2><ul><li>i1</li><li>i2</li></ul>
-<table><tr><th>Applicant</th><th>Deadline</th></tr><tr><td>First-year applicants</td><td>November 1</td></tr></table>
-<table><tr><td>Room 101</td><td>Available</td></tr></table><h1>Two</h1>tail<!-- c --></body></html>"""
+<table><tr><th>Reader</th><th>Loan period</th></tr><tr><td>Visiting readers</td><td>Two weeks</td></tr></table>
+<table><tr><td>Desk 7</td><td>Free</td></tr></table><h1>Two</h1>tail<!-- c --></body></html>"""
 
 
 def test_parse_page():
@@ -93,7 +107,7 @@ def test_parse_page():
     assert page["last_updated"].isoformat() == "2024-01-02T03:04:05+00:00"
     assert [(s["heading_path"], s["text"]) for s in page["sections"]] == [
         ([], "Intro with a link. More"), (["One"], "para bold end."),
-        (["One", "A Holds"], "i1\ni2\n\nFirst-year applicants: Deadline: November 1\n\nRoom 101 | Available"), (["Two"], "tail"),
+        (["One", "A Holds"], "i1\ni2\n\nVisiting readers: Loan period: Two weeks\n\nDesk 7 | Free"), (["Two"], "tail"),
     ]
     assert "Skip" not in page["text"] and "menu" not in page["text"] and "hidden" not in page["text"]
 

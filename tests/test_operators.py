@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,29 @@ def test_cascade_only_accepted_pages_register(spark):
     assert found == {"a": ("accepted", None), "b": ("rejected", "duplicate content of a"), "c": ("accepted", None), "d": ("rejected", "duplicate canonical: c")}
 
 
+def test_links_are_resolved_like_a_browser_does(spark):
+    base = "https://example.org/one/two/page?x=1"
+    hrefs = ["https://other.org/A/", "//cdn.org/z", "/root", "?q=2", "next", "../up", "../../top", "../../../over", "./here", "a/./b/../c", "..", "https://x.org/a/../b", "s?p=..%2Fq", " /spaced "]
+    html = "<p>" + "".join(f'<a class="k>x" href="{h}">t</a>' for h in hrefs)
+    html += "<A HREF='/single'>t</A><a href=/bare>t</a><a\n  data-href='no' href='/amp?a=1&amp;b=2'>t</a><a href='mailto:x@y'>m</a><a href=\"javascript:f()\">j</a><a name='n'>n</a><a href='#top'>p</a><link href='/css'>"
+    wanted = {urljoin(base, h.strip()) for h in [*hrefs, "/single", "/bare", "/amp?a=1&b=2"]}
+    found = {r["link"] for r in crawl.links(spark.createDataFrame([(base, html), ("https://example.org/n", None)], "url string, html string")).collect()}
+    assert found == {u.replace("/A/", "/a/").rstrip("/") for u in wanted}
+
+
+def test_bounded_search_stays_on_its_site_and_within_its_pages(spark):
+    page = "https://a.org/p/{}".format
+    edges = [(page(i), page(i * 10 + k)) for i in range(1, 30) for k in range(10)] + [(page(1), "https://b.org/p/1"), (page(1), "https://a.org/q/1"), (page(1), page(1))]
+    links = spark.createDataFrame(edges, "source string, target string")
+    seeds = spark.createDataFrame([(page(1), ["/p/"]), ("https://b.org/", None)], "seed string, prefixes array<string>")
+    keep = crawl.same_site(F.col("seed"), F.col("prefixes"), F.col("target"))
+    found = [tuple(r) for r in crawl.bounded_search(seeds, links, 2, 15, keep).filter(F.col("seed") == page(1)).orderBy("depth", "node").collect()]
+    first = sorted(page(10 + k) for k in range(10))
+    second = sorted(page(i * 10 + k) for i in range(10, 20) for k in range(10))[:4]
+    assert found == [(page(1), page(1), 0), *((page(1), n, 1) for n in first), *((page(1), n, 2) for n in second)]
+    assert crawl.bounded_search(seeds, links, 1, 99, keep).filter("node LIKE '%/q/%' OR (node LIKE 'https://b.org/p%' AND seed LIKE '%a.org%')").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x|y")], "url string, kinds string")
     write_csv(rows, f"{tmp_path}/csv")
