@@ -13,9 +13,10 @@ texts, and one header row a document. It is written once and read several times:
 Windows with a term that no document has are dropped at once. `proximity_matches` finds two terms at
 most so many words apart in the same way.
 
-Defined results: null or empty texts have no words (n_words 0, not contaminated). Items that are null,
-have no words or have a null item_id match nothing. Repeated items count once; repeated documents get
-a result each. With an empty benchmark nothing is contaminated. Extra columns are ignored.
+Defined results: null or empty texts have no words (n_words 0, not contaminated). Items that are null or
+have no words match nothing; what an item without an item_id hits counts as hit, but names no item. Repeated items count once; repeated documents get
+a result each. With an empty benchmark nothing is contaminated; without documents there are
+no rows. Texts are read whole, however long. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def row_keys(doc_id: Column, text: Column) -> list[Column]:
 
 def item_word_rows(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, n, off, term, term_id): the words of each different item."""
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).distinct()
     keyed = items.select(F.xxhash64("item_id", "ws").alias("item"), "item_id", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "term"))
     return keyed.withColumn("term_id", F.xxhash64("term"))
 
@@ -93,14 +94,14 @@ def phrase_matches(index: Index, window: int = WINDOW) -> DataFrame:
     )
     second_terms = broadcast_if_small(near.select(F.col("t2").alias("term_id")).distinct(), SMALL)
     second = index.postings.join(second_terms, "term_id", "left_semi")
-    both = second.join(wanted.hint("shuffle_hash"), ["k1", "k2", "pos", "term_id"]).select("k1", "k2", "item", "diagonal")
+    both = second.join(wanted, ["k1", "k2", "pos", "term_id"]).select("k1", "k2", "item", "diagonal")
     places = stored(both.unionByName(lone).distinct(), "places")
 
     spread = places.join(broadcast_if_small(index.item_words, SMALL), "item")
     expected = spread.select("k1", "k2", "item", "diagonal", "n", "off", (F.col("diagonal") + F.col("off")).alias("pos"), "term_id").filter("pos >= 0")
     rows = broadcast_if_small(places.select(*ROW).distinct(), SMALL)
     there = index.postings.join(rows, ROW, "left_semi")
-    matched = there.join(expected.hint("shuffle_hash"), ["k1", "k2", "pos", "term_id"])
+    matched = there.join(expected, ["k1", "k2", "pos", "term_id"])
     line = Window.partitionBy("k1", "k2", "item", "diagonal").orderBy("off")
     runs = matched.withColumn("run", F.col("off") - F.dense_rank().over(line))
     spans = runs.groupBy("k1", "k2", "item", "diagonal", "n", "run").agg(F.min("off").alias("a"), F.max("off").alias("b"))
@@ -161,13 +162,13 @@ WITH d AS (
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '') AS ws FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '') AS ws FROM benchmark WHERE item_id IS NOT NULL
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '') AS ws FROM benchmark
 ), bs AS (SELECT item_id, ws, least(10, len(ws)) AS l, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0),
 bw AS (SELECT DISTINCT item_id, l, array_to_string(ws[s:s + l - 1], ' ') AS win FROM bs),
 ds AS (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM bw) WHERE len(ws) >= l),
 hits AS (SELECT doc_id, item_id, s, l FROM (SELECT doc_id, l, s, array_to_string(ws[s:s + l - 1], ' ') AS win FROM ds) JOIN bw USING (l, win)),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hits) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+i AS (SELECT doc_id, count(item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -6,8 +6,9 @@ the whole canonical text is hash-joined to the digests of the known licence text
 the same expressions. DataFrame functions only.
 
 Defined results: null texts and texts whose canonical form is empty match nothing; licence_id is null
-where nothing matches. Repeated rows give repeated results; extra columns are ignored. Two known texts
-with the same digest give the id that sorts first.
+where nothing matches. Repeated rows give repeated results; extra columns are ignored; texts are
+read whole, however long; an empty table gives no rows. Two known texts with the same digest give the id that
+sorts first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table
 from .license_texts import KNOWN
 
 # Lines that only claim copyright, and spellings that licence matching treats as one.
@@ -61,7 +62,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), known_digests(spark, KNOWN))
+    return scan(spread_table(spark, sf_dir, "documents", "doc_id", "text"), known_digests(spark, KNOWN))
 
 
 def _sql() -> str:

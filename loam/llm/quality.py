@@ -14,7 +14,7 @@ by the number of buckets, not by the vocabulary.
 Defined results: null and empty texts have zero features and get the network's score for these. Without
 labels of both classes every score is the share of label 1, or 0.5 without labels. Several labels of a
 doc_id are averaged, ties count as 1; null labels don't count. Repeated rows are scored one by one; extra
-columns are ignored; texts are read whole.
+columns are ignored; texts are read whole; without documents there are no rows.
 """
 
 from __future__ import annotations

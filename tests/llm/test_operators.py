@@ -11,7 +11,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 import sentencepiece
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from loam.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, neighbours, quality, sentencepiece_codec, suffix_dedup, token_counts
@@ -59,7 +62,7 @@ def brute_contamination(texts, items):
             for s in range(len(ws) - n + 1):
                 if tuple(ws[s : s + n]) in windows:
                     hit.update(range(s, s + n))
-                    which.add(str(item_id))
+                    which |= {str(item_id)} if item_id is not None else set()
         found.append((len(ws), len(hit), sorted(which)))
     return found
 
@@ -72,7 +75,7 @@ def test_contamination_against_brute_force(spark):
     docs = documents(spark, texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(docs, bench).collect()}
-    wanted = brute_contamination(texts, [(i, t) for i, t in items if i is not None])
+    wanted = brute_contamination(texts, items)
     assert [got[i] for i in range(len(texts))] == wanted
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert kept == {i for i, w in enumerate(wanted) if not w[1]}
@@ -102,6 +105,42 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in scored)
 
 
+def plain_features(texts):
+    """Word vectors over all texts and the features of each, a token at a time."""
+    places, signs = quality.index_vectors()
+    index = np.zeros((quality.BUCKETS, quality.DIM))
+    for b in range(quality.BUCKETS):
+        index[b, places[b]] = signs[b]
+    found = [[xxhash.xxh64(t.encode(), seed=42).intdigest() % quality.BUCKETS for t in regex.findall(r"\p{L}+|\p{N}+|[^\p{L}\p{N} \t\n\x0b\f\r]+", text or "")] for text in texts]
+    sums = np.zeros_like(index)
+    for ids in found:
+        for i, word in enumerate(ids):
+            for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
+                if i != j:
+                    sums[word] += index[ids[j]]
+    lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+    both = np.hstack([sums / np.where(lengths > 0, lengths, 1), index / np.sqrt(quality.NONZERO)])
+    repeats = lambda ids, lag: sum(a == b for a, b in zip(ids, ids[lag:], strict=False)) / max(len(ids), 1)
+    return np.array([[*(both[ids].mean(axis=0) if ids else np.zeros(2 * quality.DIM)), repeats(ids, 1), repeats(ids, 2)] for ids in found])
+
+
+def test_quality_features_and_scores_against_a_plain_version(spark):
+    rng = random.Random(2)
+    good, bad = [f"word{i}" for i in range(60)], ["buy", "now", "!!!", "$$$", "free"]
+    texts = [" ".join(rng.choices(good, k=rng.randint(5, 80))) if i % 2 else " ".join(rng.choices(bad, k=rng.randint(5, 80))) for i in range(80)] + ["", None, "a a a b b", "é 12 ,;"]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    vectors, net = quality.train(docs, labels)
+    x = plain_features(texts)
+    got = {r["doc_id"]: np.frombuffer(bytes(r["features"]), np.float32) for r in quality.features(docs, ["doc_id"], vectors).collect()}
+    assert np.abs(np.array([got[i] for i in range(len(texts))]) - x).max() < 1e-4
+    fitted = quality.fit(x[:60], np.array([i % 2 for i in range(60)], float))
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, ["doc_id"], vectors, net).collect()}
+    assert np.abs(np.array([scores[i] for i in range(len(texts))]) - fitted.scores(x)).max() < 0.01
+    kept = sorted(r["doc_id"] for r in quality.drop_rejected(docs, labels).collect())
+    assert kept == [i for i in range(len(texts)) if scores[i] >= 0.5] and {i for i in range(80) if i % 2} <= set(kept) and not {i for i in range(80) if not i % 2} & set(kept)
+
+
 def test_quality_of_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (5, 0), (6, 1)], "doc_id long, quality int")
     assert quality.drop_rejected(odd, labels).columns == odd.columns
@@ -413,6 +452,16 @@ def test_every_link_of_a_bridged_group_counts(spark, monkeypatch, block):
     assert [got[i] for i in range(26)] == [(0, sum(row)) for row in alike]
 
 
+def test_weighted_sets_through_near_duplicates(spark):
+    """Weights by count change which pairs meet; what is linked is decided on the sets."""
+    rng = random.Random(13)
+    bases = [[f"v{rng.randrange(4000)}" for _ in range(120)] for _ in range(6)]
+    texts = [" ".join(b) for b in bases] + [edited(rng, b, 1) for b in bases] + [" ".join(bases[0] * 3), " ".join(bases[1] + bases[1][:60])]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(documents(spark, texts), weighted=True).collect()}
+    assert [found[i] for i in range(12)] == [*range(6), *range(6)]
+    assert len(found) == len(texts) and all(found[i] in (i, i - 12) for i in (12, 13))
+
+
 def test_registers_estimate_weighted_similarity():
     rng = np.random.default_rng(9)
     a, b = rng.integers(1, 50, 400).astype(float), rng.integers(1, 50, 400).astype(float)
@@ -449,6 +498,20 @@ def test_licences_match_whole_texts_only(spark):
     assert [found[i] for i in range(6)] == ["MIT", None, "MIT", None, None, None]
 
 
+def test_licences_of_odd_inputs(spark, odd):
+    known = license_scan.known_digests(spark, KNOWN)
+    rows = license_scan.scan(odd, known)
+    assert rows.columns == ["doc_id", "digest", "licence_id"] and rows.count() == odd.count()
+    assert rows.filter("licence_id IS NOT NULL").count() == 0
+    assert rows.filter("digest IS NULL").count() == 2 * sum(not re.search(r"\w", t or "") for t in ODD_TEXTS)
+    assert license_scan.scan(odd.limit(0), known).count() == 0
+    mit = next(t for name, t in KNOWN if name == "MIT")
+    near_misses = [mit[:-1] + " x", mit.replace("without restriction", "with restriction"), mit * 2, "The MIT License is near"]
+    assert license_scan.scan(documents(spark, near_misses), known).filter("licence_id IS NOT NULL").count() == 0
+    assert license_scan.scan(documents(spark, [mit] * 3), known).filter("licence_id = 'MIT'").count() == 3
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence texts on this machine")
 def test_whole_texts_of_long_licences_are_known(spark):
     folder = Path("/usr/share/common-licenses")
     wanted = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
@@ -512,6 +575,34 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in scored]) > 0.95
 
 
+def test_language_against_plain_compression(spark):
+    known = {"de": "der die das und nicht ein eine mit auf für " * 40, "en": "the and of to in that with this was for " * 40, "fr": "le la les et des une pour dans que qui " * 40}
+    known = {name: text.encode() for name, text in known.items()} | {"zz": b"the and of to in that with this was for " * 40}
+    rng = random.Random(10)
+    words_of = {name: text.decode().split() for name, text in known.items()}
+    texts = [" ".join(rng.choices(words_of[rng.choice(["de", "en", "fr"])], k=rng.randint(1, 60))).title() for _ in range(60)] + ["", None, "123 !", "x"]
+    got = {r["doc_id"]: r for r in language_id.classify(documents(spark, texts), known, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, False)
+            continue
+        sizes = {}
+        for name, content in known.items():
+            packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False)
+            sizes[name] = len(packer.compress(text.lower().encode()))
+        first, second = sorted((size, name) for name, size in sizes.items())[:2]
+        assert got[i]["lang_pred"] == first[1]  # "en" before its equal "zz": ties go to the name that sorts first
+        assert got[i]["score"] == pytest.approx(1 - first[0] / second[0])
+        assert got[i]["rejected"] == (got[i]["score"] < language_id.MIN_MARGIN)
+
+
+def test_language_sample_takes_repeated_rows_once(spark):
+    rows = [(None, "same words again and again", "en")] * 500 + [(i, f"text number {i} of many", "en") for i in range(20)] + [(1, "une phrase", "fr"), (2, "rien", None)]
+    known = language_id.train_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(known) == ["en", "fr"] and known["fr"] == b"une phrase"
+    assert known["en"].count(b"same words again and again") == 1 and known["en"].count(b"text number") == 20
+
+
 def test_language_of_odd_inputs(spark, odd):
     known = language_id.train_dictionaries(odd)
     found = language_id.classify(odd.drop("score"), known, ["doc_id"]).collect()
@@ -538,3 +629,42 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     planted = docs.filter("doc_id = 1").withColumn("text", F.concat("text", F.lit(" "), F.lit(item))).unionByName(docs.filter("doc_id = 4"))
     assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, planted, source).collect()] == [4]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "near dedup", "suffix dedup", "decontamination", "sentencepiece"]
+
+
+def test_each_stage_against_brute_force_on_its_own_input(spark, tmp_path):
+    """Near dedup, suffix dedup, decontamination and encoding, each on what the stage before it kept."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n)]
+    passage, items = some(55), [" ".join(some(14)) for _ in range(3)]
+    bases = [some(rng.choice([30, 90, 200])) for _ in range(24)]
+    texts = [" ".join(b) for b in bases] + [edited(rng, b, 2) for b in bases[:8]] + [" ".join(bases[9]), "", None]
+    texts += [" ".join([*some(40), *passage, *some(30)]) for _ in range(6)] + [" ".join([*some(25), item, *some(25)]) for item in items]
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).orderBy("doc_id").collect()
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset() for w in map(words, texts)]
+    alike = lambda i, j: (texts[i] or "") == (texts[j] or "") or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+    assert [r["doc_id"] for r in kept] == [i for i in range(len(texts)) if not any(alike(i, j) for j in range(i))]
+
+    docs = spark.createDataFrame(kept, docs.schema)
+    cut = {r["doc_id"]: r for r in corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path)).collect()}
+    wanted = brute_cut([r["text"] for r in kept], suffix_dedup.PASSAGE)
+    assert [cut[r["doc_id"]]["text"] for r in kept] == wanted and all(" ".join(passage) not in (t or "") for t in wanted)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in cut.values() if r["text"] is not None)
+
+    docs = spark.createDataFrame(list(cut.values()), docs.schema)
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    hits = brute_contamination([r["text"] for r in cut.values()], list(enumerate(items)))
+    assert sorted(r["doc_id"] for r in clean) == sorted(i for i, hit in zip(cut, hits, strict=True) if not hit[1]) and len(clean) < len(cut)
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    encoded = {r["doc_id"]: r for r in corpus_pipeline.sentencepiece(spark, spark.createDataFrame(clean, docs.schema), str(tmp_path)).collect()}
+    assert {r["doc_id"]: len(theirs.encode(r["text"] or "")) for r in clean} == {i: r["n_pieces"] for i, r in encoded.items()}
+    assert all(r["parity"] and r["round_trip"] for r in encoded.values())
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
