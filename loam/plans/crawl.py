@@ -11,7 +11,7 @@ from loam.functions.html import parse_pages
 from loam.operators import crawl as C
 from loam.plans.registry import query
 from loam.plans.texts import NORM_SQL, TITLE_SQL, _sql_any, title
-from loam.sources.tables import table
+from loam.sources.tables import FEEDBACK_SQL, feedback, table
 
 _LINKS_SQL = r"""found AS (SELECT url, trim(unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1))) AS href FROM pages),
 kept AS (SELECT url, href, regexp_replace(regexp_replace(url, '[?#].*$', ''), '(^https?://[^/]+/.*/|^https?://[^/]+/?)[^/]*$', '\1') AS folder FROM found WHERE NOT regexp_matches(href, '^(mailto:|tel:|javascript:|#)')),
@@ -183,12 +183,33 @@ def two_pass_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_passes(items, F.length("text") % 3 == 0, F.array_join(F.slice(T.tokens(F.col("text")), 1, 5), " "))
 
 
-@query("e12_e13_tuning_audit")
+_RATES_SQL = "round(avg(CASE WHEN low >= {0} THEN 1.0 ELSE 0.0 END), 6) AS grounded, round(avg(CASE WHEN high >= {0} THEN 1.0 ELSE 0.0 END), 6) AS sufficient, round(avg(CASE WHEN rating = 'helpful' THEN 1.0 ELSE 0.0 END), 6) AS precision"
+
+
+@query("e12_e13_tuning_audit", f"""WITH {FEEDBACK_SQL}, scored AS (SELECT rating, list_min(scores) AS low, list_max(scores) AS high FROM feedback), n AS (SELECT count(*) AS eligible,
+  count(*) FILTER (rating = 'not_helpful' AND low < 1.0 + 1.0) / nullif(count(*), 0) AS rate FROM scored WHERE low IS NOT NULL),
+d AS (SELECT CASE WHEN eligible < 20 THEN 'insufficient_samples' WHEN rate < 0.15 THEN 'no_signal' ELSE 'candidate' END AS decision, CASE WHEN eligible >= 20 AND rate >= 0.15 THEN 1.25 END AS new_value FROM n),
+g0 AS (SELECT {_RATES_SQL.format('0.0')} FROM scored), g1 AS (SELECT {_RATES_SQL.format('1.0')} FROM scored), g2 AS (SELECT {_RATES_SQL.format('(SELECT coalesce(new_value, 1.0) FROM d)')} FROM scored),
+steady AS (SELECT 'steady' AS run, decision, 1.0 AS old_value, new_value, new_value IS NOT NULL AS applied, g0.grounded AS gb, g0.grounded AS ga, g0.sufficient AS sb, g0.sufficient AS sa, g0.precision AS pb, g0.precision AS pa FROM d, g0),
+strict AS (SELECT 'strict' AS run, decision, 1.0 AS old_value, new_value, new_value IS NOT NULL AND NOT (g2.grounded < g1.grounded OR g2.sufficient < g1.sufficient OR g2.precision < g1.precision - 0.01) AS applied,
+  g1.grounded AS gb, g2.grounded AS ga, g1.sufficient AS sb, g2.sufficient AS sa, g1.precision AS pb, g2.precision AS pa FROM d, g1, g2),
+audit AS (SELECT * FROM steady UNION ALL SELECT * FROM strict)
+SELECT run, decision, old_value, new_value, applied, gb AS grounded_rate_before, ga AS grounded_rate_after, sb AS citation_sufficiency_rate_before, sa AS citation_sufficiency_rate_after, pb AS context_precision_before, pa AS context_precision_after FROM audit
+UNION ALL SELECT run, 'reverted', new_value, old_value, true, ga, gb, sa, sb, pa, pb FROM audit WHERE applied""")
 def tuning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that applies a candidate, and its revert, as audit rows."""
+    """A run whose gate holds, so that its candidate is applied and then reverted; and one whose rates a higher floor lowers."""
     from loam.operators.tune import reverted, tuned
-    from loam.plans.evaluate import gate_at
-    from loam.sources.tables import feedback
 
-    run = tuned(feedback(spark, sf_dir), 1.0, lambda floor: gate_at(spark, sf_dir, floor))
-    return run.unionByName(reverted(run))
+    rows = feedback(spark, sf_dir)
+    scores = F.filter(F.transform("citations", lambda c: c["rerank_score"]), lambda s: s.isNotNull())
+    rate = lambda x: F.round(F.avg(F.when(x, 1.0).otherwise(0.0)), 6)
+
+    def gate(floor: float) -> DataFrame:
+        return rows.agg(
+            rate(F.array_min(scores) >= floor).alias("grounded_rate"), rate(F.array_max(scores) >= floor).alias("citation_sufficiency_rate"),
+            rate(F.col("rating") == "helpful").alias("context_precision"),
+        )
+
+    runs = {"steady": tuned(rows, 1.0, lambda _: gate(0.0)), "strict": tuned(rows, 1.0, gate)}
+    named = [part.select(F.lit(name).alias("run"), "*") for name, run in runs.items() for part in (run, reverted(run))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
