@@ -90,7 +90,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(scored, ["query_id"], "score", "chunk_id", 20).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("score").alias("sim"), "rank")
 
 
-@query("r3_vector_topk_pruned")
+@query("r3_vector_topk_pruned", top_sql(_VECTORS_SQL, "query_id", "sim", "vec_id", 20, "query_id, vec_id, sim, rank"))
 def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a sign-bit index: the query's own cell, then each cell that can hold a nearer vector; exact."""
     bits, k = 3, 20
