@@ -18,6 +18,7 @@ from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op4_token_counts
+from .whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op12_whitening": op12_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
