@@ -18,6 +18,7 @@ from .quality import op2_quality
 from .sentencepiece_codec import op9_sentencepiece
 from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op4_token_counts
+from .url_filter import OP13_SQL, op13_url_filter
 from .whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
     "op12_whitening": op12_whitening,
+    "op13_url_filter": op13_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -41,6 +43,7 @@ SQL: dict[str, str] = {
     "op6_suffix_dedup": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_license_scan": OP8_SQL,
+    "op13_url_filter": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
