@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -123,6 +124,19 @@ def lean_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
+@contextlib.contextmanager
+def lean(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """The bounds of lean_batches for what runs inside; the session's own settings come back after it."""
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    lean_batches(spark, size)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def give_back() -> None:
     """Return what a task freed to the system: Python workers outlive their tasks, and others need the memory."""
     gc.collect()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language_id import op10_language_id
 from .license_scan import OP8_SQL, op8_license_scan
 from .near_dedup import op7_near_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_whitening": op12_whitening,
     "op13_url_filter": op13_url_filter,
     "pipeline": corpus_pipeline.run,
@@ -43,6 +45,7 @@ SQL: dict[str, str] = {
     "op6_suffix_dedup": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_license_scan": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_url_filter": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
