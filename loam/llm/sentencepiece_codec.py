@@ -16,6 +16,7 @@ path on every executor.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
@@ -28,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from .common import TOKENIZERS, give_back, lean_batches, spread_table
 
@@ -122,8 +123,6 @@ def build(data: bytes) -> Tokenizer:
     # Where no piece has the marker behind another character, texts can be cut before each run of markers.
     if not any(SPACE in piece.lstrip(SPACE) for piece, _, kind in model.pieces if kind == NORMAL):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
-    undo = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(SPACE, " ")]
-    tokenizer.decoder = decoders.Sequence([*undo, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else undo)
     return tokenizer
 
 
@@ -141,7 +140,7 @@ class Encoder:
             data = file.read()
         model = Model(data)
         self.tokenizer, self.segments = build(data), segmentable(model)
-        self.dummy = model.dummy_prefix
+        self.dummy, self.squeeze = model.dummy_prefix, model.squeeze
         shown = {UNKNOWN: lambda piece: " ⁇ ".encode(), CONTROL: lambda piece: b"", BYTE: lambda piece: bytes([int(piece[3:5], 16)])}
         self.bytes = [shown.get(kind, lambda piece: piece.replace(SPACE, " ").encode())(piece) for piece, _, kind in model.pieces]
         self.opens = np.array([piece.startswith(SPACE) for piece, _, _ in model.pieces])
@@ -191,17 +190,28 @@ class Encoder:
         self.known = dict(self.marker)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of piece ids: the pieces' bytes, joined; what is no UTF-8 then is left to the library."""
+        """Texts of piece ids: the pieces' bytes, joined; each byte that is part of no UTF-8 becomes U+FFFD.
+
+        With a dummy prefix one leading marker goes. Where extra white space is removed, pieces lose theirs for
+        as long as the text so far is empty; an unknown piece keeps its own blank.
+        """
         found: list[str] = []
         for one in ids:
-            try:
-                text = b"".join([self.bytes[i] for i in one]).decode()
-                found.append(text[1:] if self.dummy and one and self.opens[one[0]] else text)
-            except UnicodeDecodeError:
-                found.append(self.tokenizer.decode(one, skip_special_tokens=False))
+            parts = [self.bytes[i] for i in one]
+            for at, i in enumerate(one if self.dummy or self.squeeze else ()):
+                if self.opens[i]:
+                    parts[at] = parts[at][1:]
+                    if not self.squeeze:
+                        break
+                if parts[at]:
+                    break
+            found.append(b"".join(parts).decode(errors="bytewise"))
         return found
 
 
+codecs.register_error("bytewise", lambda error: ("\ufffd" * (error.end - error.start), error.end))
+
+
 @lru_cache(maxsize=1)
 def load(path: str) -> Encoder:
     return Encoder(path)

@@ -16,9 +16,9 @@ integer millionths, so that sums don't depend on their order) over its number of
 held-out part of the labelled URLs, those whose MD5 begins with one of `HELD`: of all hundredths of a nat the one with the least balanced error,
 of equal ones the nearest to 0. All counts are over all labelled URLs.
 
-Scale. Scoring reads one array of (letters + 1) ** (ORDER + 1) integers, 11 MB whatever the input, and needs no
-shuffle and no row but the URL's own; training shuffles partial counts of as many different windows at most. No
-Python runs in tasks.
+Scale. The table of ratios has (letters + 1) ** ORDER contexts, 14 MB whatever the input, and goes to every task; a row
+of a URL's characters is an integer or two, summed up before anything is shuffled, and sums meet their URLs by the number
+of the row. Training shuffles partial counts of (letters + 1) ** (ORDER + 1) windows at most. No Python runs in tasks.
 
 Defined results: the host is what stands between the first `://` and `/`, `?`, `#` or the end, with A-Z
 lower-cased, the path what follows up to `?`, `#` or the end; without `://`, and for null, both are empty. Models read what
@@ -111,11 +111,16 @@ def _places(numbers: Column) -> Column:
     return F.sequence(F.lit(0), F.size(numbers) - (ORDER + 1))
 
 
+def _windows(urls: DataFrame, name: str) -> DataFrame:
+    """(name, context, follower): a row a character of each URL, and one for its end. Nothing else of the URL is carried along."""
+    windows = F.transform(F.array(symbols(F.col("url"))), lambda s: F.transform(_places(s), lambda i: F.struct(_context(s, i).alias("context"), F.get(s, i + ORDER).alias("follower"))))
+    return urls.select(name, F.explode(F.get(windows, F.lit(0))).alias("w")).select(name, "w.*")
+
+
 def window_counts(labelled: DataFrame) -> DataFrame:
     """(context, follower, allow, block) of labelled(url, rule_verdict): occurrences in each class."""
-    windows = F.transform(F.array(symbols(F.col("url"))), lambda s: F.transform(_places(s), lambda i: F.struct(_context(s, i).alias("context"), F.get(s, i + ORDER).alias("follower"))))
-    listed = labelled.select("rule_verdict", F.explode(F.get(windows, F.lit(0))).alias("w")).select("rule_verdict", "w.*")
-    return listed.groupBy("context", "follower").agg(*(F.count_if(F.col("rule_verdict") == v).alias(v) for v in ("allow", "block")))
+    counted = _windows(labelled, "rule_verdict").groupBy("context", "follower")
+    return counted.agg(*(F.count_if(F.col("rule_verdict") == v).alias(v) for v in ("allow", "block")))
 
 
 def _level(counts: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
@@ -142,24 +147,22 @@ def _level(counts: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """One row, `table`: by context and follower the log of the two models' ratio, in millionths."""
+    """(context, ratio array<int>): for each follower the log of the two models' ratio, in millionths."""
     level = None
     for k in range(ORDER + 1):
         level = _level(counts, k, level)
         if k in (1, 2):
             level = stored(level, "url-level")
     ratio = F.transform(F.arrays_zip("allow", "block"), lambda p: F.round(MILLION * (F.log(p["allow"]) - F.log(p["block"]))).cast("int"))
-    listed = level.select(F.struct("context", ratio.alias("ratio")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    return listed.select(F.lit(0).alias("model"), F.col("rs.ratio").alias("table"))
+    return level.select("context", ratio.alias("ratio"))
 
 
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """urls(url, ...) with `bin`, the score in hundredths of a nat, rounded down."""
-    total = lambda s, t: F.aggregate(_places(s), F.lit(0).cast("long"), lambda a, i: a + F.get(F.get(t, _context(s, i)), F.get(s, i + ORDER)))
-    mean = lambda s, t: F.floor(total(s, t) / ((F.size(s) - ORDER) * (MILLION // BINS)))
-    one = urls.withColumn("model", F.lit(0)).join(F.broadcast(model), "model")  # one row of bounded size
-    bin = F.get(F.transform(F.array(symbols(F.col("url"))), lambda s: mean(s, F.col("table"))), F.lit(0))
-    return one.withColumn("bin", F.greatest(F.least(bin, F.lit(WIDEST)), F.lit(-WIDEST)).cast("int")).drop("model", "table")
+    """(row, bin) of urls(row, url): each row's score in hundredths of a nat, rounded down."""
+    met = _windows(urls, "row").join(F.broadcast(model), "context")  # SYMBOLS ** ORDER rows, 14 MB
+    sums = met.groupBy("row").agg(F.sum(F.get("ratio", F.col("follower"))).alias("total"), F.count("*").alias("n"))
+    bin = F.floor(F.col("total") / (F.col("n") * (MILLION // BINS)))
+    return sums.select("row", F.greatest(F.least(bin, F.lit(WIDEST)), F.lit(-WIDEST)).cast("int").alias("bin"))
 
 
 def threshold(held: DataFrame) -> int:
@@ -186,13 +189,15 @@ def is_held(url: Column) -> Column:
 def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages(page_id, url) with host, path, rule, bin, threshold and verdict."""
     host, path = host_and_path(F.col("url"))
-    rows = stored(by_rules(pages.select("page_id", "url", host.alias("host"), path.alias("path")), rules), "url-rules")
-    labelled = rows.filter("rule_verdict IS NOT NULL").select("url", "rule_verdict")
+    rows = by_rules(pages.select("page_id", "url", host.alias("host"), path.alias("path")), rules)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-rules")  # numbers that are written stay as they are
+    labelled = rows.filter("rule_verdict IS NOT NULL").select("row", "url", "rule_verdict")
     held = is_held(F.col("url"))
     model = stored(ratios(stored(window_counts(labelled.filter(~held)), "url-windows")), "url-model")
-    least = threshold(scored(labelled.filter(held), model))
+    tested = labelled.filter(held)
+    least = threshold(scored(tested, model).join(tested.select("row", "rule_verdict"), "row"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("bin") >= least, "allow").otherwise("block"))
-    return scored(rows, model).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bin", F.lit(least).alias("threshold"))
+    return rows.join(scored(rows, model), "row").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bin", F.lit(least).alias("threshold"))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
