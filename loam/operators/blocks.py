@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -38,16 +39,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
 
 
-_kept: list[DataFrame] = []
+_undo: list[Callable[[], object]] = []
+
+
+def on_release(undo: Callable[[], object]) -> None:
+    """Have `undo` called when what the present query has set up is let go of."""
+    _undo.append(undo)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df held by the executors, in memory or on disk, as several parts of a plan read it; its lineage stays."""
-    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return _kept[-1]
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    on_release(held.unpersist)
+    return held
 
 
 def release() -> None:
-    """Let go of what is kept. A result that still needs it is computed again."""
-    while _kept:
-        _kept.pop().unpersist()
+    """Let go of what is kept and put settings back, the last first. A result that still needs them is computed again."""
+    while _undo:
+        _undo.pop()()

@@ -42,8 +42,21 @@ def without_dots(url: Column) -> Column:
     return F.when(parts(2).rlike(r"(^|/)\.\.?(/|$)"), F.concat(parts(1), F.lit("/"), ended, parts(3))).otherwise(url)
 
 
-#: Anchors' targets in double quotes, single quotes or none.
-_HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# What a page is cut into: comments and elements of raw text, which are passed over, and anchors, whose attributes are kept.
+# What isn't closed goes on to the end of the page, as in a browser, so a page is read once. All loops are possessive: the
+# engine recurses, once a character, into those that it may have to undo.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+_RAW = "|".join(rf"<{name}\b{_INSIDE}(?:>(?:[^<]++|<(?!/{name}\b))*+|\z)" for name in ("script", "style", "textarea", "title", "template"))
+_PARTS = rf"(?is)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|{_RAW}|<a([\s/]{_INSIDE})(?:>|\z)"
+_PAIRS = r"""(?is)([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+
+
+def hrefs(html: Column) -> Column:
+    """The targets of a page's anchors, each anchor's first href; anchors without one give none."""
+    inside = F.regexp_extract_all(html, F.lit(_PARTS), F.lit(1))
+    pairs = lambda tag: F.arrays_zip(F.regexp_extract_all(tag, F.lit(_PAIRS), F.lit(1)).alias("name"), F.regexp_extract_all(tag, F.lit(_PAIRS), F.lit(2)).alias("value"))
+    target = lambda tag: F.get(F.filter(pairs(tag), lambda p: F.lower(p["name"]) == "href"), F.lit(0))["value"]
+    return F.transform(F.filter(F.transform(F.filter(inside, lambda tag: tag != ""), target), lambda v: v.isNotNull()), _attribute)
 
 
 def _attribute(value: Column) -> Column:
@@ -53,9 +66,8 @@ def _attribute(value: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, link): different normalised targets of the anchors of pages(url, html)."""
-    hrefs = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
-    found = pages.select("url", F.explode(F.transform(hrefs, _attribute)).alias("href"))
+    """(url, link): different normalised targets of the anchors of pages(url, html), those in comments and scripts left out."""
+    found = pages.select("url", F.explode(hrefs(F.col("html"))).alias("href"))
     kept = found.filter(~F.col("href").rlike("^(mailto:|tel:|javascript:|#)"))
     return kept.select("url", normalize_url(absolute(F.col("url"), F.col("href"))).alias("link")).distinct()
 

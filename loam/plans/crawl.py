@@ -13,18 +13,40 @@ from loam.plans.registry import query
 from loam.plans.texts import NORM_SQL, TITLE_SQL, _sql_any, title
 from loam.sources.tables import FEEDBACK_SQL, feedback, table
 
-_LINKS_SQL = r"""found AS (SELECT url, trim(unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1))) AS href FROM pages),
+_INSIDE_SQL = r"""(?:[^>"'']|"[^"]*"|''[^'']*''|["''])*"""
+_RAW_SQL = "|".join(rf"<{name}\b{_INSIDE_SQL}(?:>.*?(?:</{name}\b|\z)|\z)" for name in ("script", "style", "textarea", "title", "template"))
+_PAIRS_SQL = r"""'(?is)([^\s"''>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*))?'"""
+_NAMES_SQL = "list_transform(names, lambda n : lower(n))"
+_LINKS_SQL = rf"""tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|{_RAW_SQL}|<a([\s/]{_INSIDE_SQL})(?:>|\z)', 1)) AS tag FROM source),
+pairs AS (SELECT url, regexp_extract_all(tag, {_PAIRS_SQL}, 1) AS names, regexp_extract_all(tag, {_PAIRS_SQL}, 2) AS vals FROM tags),
+found AS (SELECT url, trim(replace(regexp_replace(coalesce(vals[list_position({_NAMES_SQL}, 'href')], ''), '^["'']|["'']$', '', 'g'), '&amp;', '&')) AS href FROM pairs WHERE list_contains({_NAMES_SQL}, 'href')),
 kept AS (SELECT url, href, regexp_replace(regexp_replace(url, '[?#].*$', ''), '(^https?://[^/]+/.*/|^https?://[^/]+/?)[^/]*$', '\1') AS folder FROM found WHERE NOT regexp_matches(href, '^(mailto:|tel:|javascript:|#)')),
-absolute AS (SELECT url AS page, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
-  WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href
-  ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || href END AS url FROM kept)"""
+joined AS (SELECT url AS page, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href WHEN href = '' THEN url
+  ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || href END AS url FROM kept),
+absolute AS (SELECT page, regexp_replace(regexp_replace(url, '^(https?://[^/?#]+(?:/[^/?#]+)*?)/[^/?#]+/\.\./', '\1/'), '^(https?://[^/?#]+)/\.\./', '\1/') AS url FROM joined)"""
+_LINKED_SQL = f"{_LINKS_SQL}, {NORM_SQL.replace('FROM pages', 'FROM (SELECT page AS page_id, url FROM absolute)')} SELECT DISTINCT page_id AS url, norm_url AS link FROM norm"
 
 
-@query("c3_link_extraction", f"WITH {_LINKS_SQL}, {NORM_SQL.replace('FROM pages', 'FROM (SELECT page AS page_id, url FROM absolute)')} SELECT DISTINCT page_id AS url, norm_url AS link FROM norm")
+@query("c3_link_extraction", f"WITH source AS (SELECT url, html FROM pages), {_LINKED_SQL}")
 def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.links(table(spark, sf_dir, "pages"))
 
 
+#: Markup that each page is given: live anchors in every kind of quotes, and dead ones in comments, scripts and other attributes.
+_FORMS = """<A class='x>y' HREF = '../up/{i}?a=1&amp;b=2'>1</A><a title="a > b" href=bare/{i}>2</a><a data-href="/data" name=z>3</a><a href>4</a><a/href="/slash/{i}">5</a>
+<!-- <a href="/comment/{i}"> -- > --><script type="a>b">var s = "<a href='/script/{i}'>" + "<!--";</script><textarea><a href="/text"></textarea><abbr href="/abbr">6</abbr>
+<a href="//other.example.org/{i}/">7</a><a href="mailto:x@y.z">8</a><a id="q'" href='quote{i}'>9</a><a href=/last/{i} title="never closed"""
+_FORMS_SQL = "'" + _FORMS.replace("'", "''") + "'"
+
+
+@query("c3_link_forms", f"WITH source AS (SELECT url, html || replace({_FORMS_SQL}, '{{i}}', CAST(page_id AS VARCHAR)) AS html FROM pages), {_LINKED_SQL}")
+def link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 on the pages with markup after their own: quotes of every kind, references, dots, comments, scripts, an open tag."""
+    more = F.replace(F.lit(_FORMS), F.lit("{i}"), F.col("page_id").cast("string"))
+    return C.links(table(spark, sf_dir, "pages").select("url", F.concat("html", more).alias("html")))
+
+
 _RULES_SQL = "rules AS (SELECT DISTINCT lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS origin, '/en' AS prefix FROM pages WHERE page_id % 3 = 0)"
 
 

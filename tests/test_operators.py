@@ -71,10 +71,10 @@ def test_case_without_relevant_url_is_an_error(spark):
         evaluate.require_relevant(spark.createDataFrame([(1, None)], "case_id long, url string")).collect()
 
 
-def test_turn_rates_of_the_reference_example(spark):
-    rows = [("question", True, False, 120.0), ("question", False, True, 340.0), ("question", None, False, 80.0), ("greeting", True, False, 10.0)]
+def test_turn_rates_skip_unknown_values(spark):
+    rows = [("question", True, False, 150.0), ("question", False, True, 300.0), ("question", None, False, 90.0), ("greeting", True, False, 20.0)]
     found = analytics.turn_rates(spark.createDataFrame(rows, "intent string, grounded boolean, needs_clarification boolean, latency_ms double")).first()
-    assert (found["turn_count"], found["clarification_rate"], found["latency_p50"]) == (4, 0.25, 100.0)
+    assert (found["turn_count"], found["clarification_rate"], found["latency_p50"]) == (4, 0.25, 120.0)
     assert found["grounded_rate"] == pytest.approx(1 / 3, abs=1e-6)
 
 
@@ -114,6 +114,18 @@ def test_links_are_resolved_like_a_browser_does(spark):
     assert found == {u.replace("/A/", "/a/").rstrip("/") for u in wanted}
 
 
+@pytest.mark.parametrize("markup, wanted", [
+    ("<a " + "x" * 1_000_000 + ">", {"/live"}), ("<a " * 300_000, {"/live"}), ("<a " + "'\"" * 500_000, {"/live"}), ('<a href="/q' + "x" * 1_000_000, set()), ("<a " + "a =" * 300_000 + ">", {"/live"}),
+    ("<!--" + "<a href='/c'>" * 100_000, set()), ("<!--" + "-" * 1_000_000, set()), ("<script>" + "<a href='/c'>" * 100_000, set()), ("<script></script>" * 60_000, {"/live"}), ("<" * 1_000_000, {"/live"}),
+    ("<!-- <a href='/dead'> --><script>var s = \"<a href='/js'>\"</script><style><a href=/css></style><textarea><a href=/t></textarea>", {"/live"}),
+    ("<a/href=/slash><abbr href=/no><a HREF = '/up?b=>'><a data-href=/no><a href=/first href=/second>", {"/live", "/slash", "/up?b=%3E", "/first"}),
+], ids=range(12))
+def test_links_of_huge_and_broken_markup(spark, markup, wanted):
+    """Nothing here ends a task: unclosed tags, quotes, comments and scripts go on to the end of the page; no dead link counts."""
+    found = {r["link"] for r in crawl.links(spark.createDataFrame([("https://example.org/p", markup + "<a href='/live'>")], "url string, html string")).collect()}
+    assert found - {"https://example.org/p"} == {"https://example.org" + w for w in wanted}
+
+
 def test_bounded_search_stays_on_its_site_and_within_its_pages(spark):
     page = "https://a.org/p/{}".format
     edges = [(page(i), page(i * 10 + k)) for i in range(1, 30) for k in range(10)] + [(page(1), "https://b.org/p/1"), (page(1), "https://a.org/q/1"), (page(1), page(1))]
