@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.operators.blocks import on_release, release  # noqa: F401  (release is for the pipeline)
+
 # Words are runs of ASCII digits, ASCII letters and everything from U+0080 on.
 WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,9 +35,11 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or (tests only) a new local one."""
+    """Folder that all executors share: spark.checkpoint.dir; where it is unset, on one machine only, a new folder there."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="loam-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -48,22 +53,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_kept: list[DataFrame] = []
-
-
 def kept(df: DataFrame) -> DataFrame:
     """Keep df on the executors' disks, as it is read several times. The lineage stays: what a lost
     executor held is made again. Let go by release(), or by spark.catalog.clearCache(). Only for frames
     near stored ones: plans of kept frames on kept frames grow with every level.
     """
-    _kept.append(df.persist(StorageLevel.DISK_ONLY))
-    return _kept[-1]
-
-
-def release() -> None:
-    """Let go of all that is kept, once results that need it are written."""
-    while _kept:
-        _kept.pop().unpersist()
+    held = df.persist(StorageLevel.DISK_ONLY)
+    on_release(held.unpersist)
+    return held
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -81,11 +78,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def text_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart that share a doc_id but not the text."""
-    return F.xxhash64(doc_id, text)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges(a, b): the smallest node of each connected component.
 
@@ -118,10 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
 def lean_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes, besides the rows, of the batches that Spark reads and hands to Python: texts may be long.
 
-    The settings stay: a query runs after the function that made it returns.
+    A query runs after the function that made it returns, so the session has its own settings again at the next release().
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    if before != wanted:
+        on_release(lambda: [spark.conf.set(name, value) for name, value in before.items()])
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
 
 
 @contextlib.contextmanager
@@ -129,7 +125,8 @@ def lean(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """The bounds of lean_batches for what runs inside; the session's own settings come back after it."""
     names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
     before = {name: spark.conf.get(name) for name in names}
-    lean_batches(spark, size)
+    for name, value in zip(names, (str(size), "512"), strict=True):
+        spark.conf.set(name, value)
     try:
         yield
     finally:

@@ -143,8 +143,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     found = contamination(docs.select("doc_id", "text"), benchmark, window)
     hits = kept(found.filter("n_hit > 0").select("k1", "k2").distinct())
     k1, k2 = row_keys(docs["doc_id"], docs["text"])
-    hits = broadcast_if_small(hits.toDF("_k1", "_k2"), SMALL)
-    return docs.withColumn("_r1", k1).withColumn("_r2", k2).join(hits, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_anti").drop("_r1", "_r2")
+    rows = docs.select(F.struct("*").alias("_row"), k1.alias("k1"), k2.alias("k2"))
+    return rows.join(broadcast_if_small(hits, SMALL), ["k1", "k2"], "left_anti").select("_row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

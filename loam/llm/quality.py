@@ -214,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     vectors = word_vectors(docs)
     truth = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sample = truth.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(SAMPLE)
-    rows = features(docs.join(F.broadcast(sample), "doc_id"), ["doc_id", "label"], vectors).select("features", "label", "doc_id").collect()
+    described = features(docs.join(F.broadcast(sample), "doc_id"), ["doc_id", "label"], vectors).select("features", "label", "doc_id").distinct()
+    rows = described.orderBy(F.xxhash64(F.lit("rows"), "doc_id", "features"), "doc_id").limit(SAMPLE).collect()  # an id may have any number of texts
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     x = np.array([np.frombuffer(bytes(r["features"]), np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIM + 2)
     return vectors, fit(x, np.array([r["label"] for r in rows], np.float64))
