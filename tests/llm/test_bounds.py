@@ -31,6 +31,7 @@ def test_a_labelled_id_of_many_texts_sends_a_bounded_sample(spark, monkeypatch):
 
 def test_settings_and_kept_frames_go_with_the_query(spark):
     name = "spark.sql.parquet.columnarReaderBatchSize"
+    release()
     before = spark.conf.get(name)
     common.lean_batches(spark)
     held = common.kept(spark.range(5))
