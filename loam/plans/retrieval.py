@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators import lexical as L
 from loam.operators import retrieval as R
 from loam.operators.blocks import kept
+from loam.operators.store import built, fingerprint
 from loam.plans.registry import query
 from loam.plans.texts import TOKENS_SQL
 from loam.sources.tables import CORPUS_SQL, corpus, table
@@ -46,6 +48,17 @@ def retrieval_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.coalesce(R.passes(**asked), F.lit(False)).alias("lexical"), (R.passes(**asked, null_type=True) & F.col("embedding").isNotNull()).alias("semantic"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> L.Index:
+    """The stored index of the corpus, built by the first query that asks for it in this state of the documents."""
+    key = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    return L.opened(spark, built(spark, "bm25", key, lambda path: L.build(corpus(spark, sf_dir), path)))
+
+
+def _within(queries: DataFrame, scope: Column) -> DataFrame:
+    """queries with the scope that they search and take their statistics from."""
+    return queries.withColumn("scope", scope).withColumn("statistics", F.col("scope"))
+
+
 def _one_query(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(QUERY_TEXT).alias("text"))
 
@@ -57,8 +70,7 @@ _ONE_SQL = f"q AS (SELECT CAST(0 AS BIGINT) AS query_id, '{QUERY_TEXT}' AS text)
 @query("r1_bm25_topk", f"WITH {CORPUS_SQL}, {_APPROVED_SQL}, {_ONE_SQL}, {bm25_sql('ok', 'q', 's')} {top_sql('s', 'query_id', 'score', 'chunk_id', 20, 'chunk_id, score, rank')}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 BM25 on the filtered corpus, F7 positive scores, W2 top 20."""
-    docs = corpus(spark, sf_dir).filter(R.passes(topic=F.lit("en")))
-    return R.top(R.bm25(docs, _one_query(spark)), ["query_id"], "score", "chunk_id", 20).select("chunk_id", "score", "rank")
+    return L.search(index(spark, sf_dir), _within(_one_query(spark), L.scope(topic=F.lit("en"))), 20).select("chunk_id", "score", "rank")
 
 
 _ITEMS_SQL = "items AS (SELECT item_id AS query_id, text FROM benchmark)"
@@ -68,9 +80,8 @@ BATCH_SQL = f"{_ITEMS_SQL}, {_ALL_SQL}, {bm25_sql('docs', 'items', 's')}, ranked
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, chunk_id, score, rank): the 20 best documents of every benchmark item."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return kept(R.top(R.bm25(docs, items), ["query_id"], "score", "chunk_id", 20))
+    return kept(L.search(index(spark, sf_dir), _within(items, F.lit(L.EVERYTHING)), 20))
 
 
 @query("r1_bm25_batch_topk", f"WITH {BATCH_SQL} SELECT query_id AS item_id, chunk_id AS doc_id, score, rank FROM ranked")
@@ -106,12 +117,12 @@ def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(own.unionByName(rest), ["query_id"], "sim", "vec_id", k)
 
 
-def _rankings(spark: SparkSession, sf_dir: str, **filters: Column) -> tuple[DataFrame, DataFrame]:
+def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
-    lexical = R.top(R.bm25(docs.filter(R.passes(**filters)), _one_query(spark)), ["query_id"], "score", "chunk_id", R.CANDIDATES)
+    lexical = L.search(index(spark, sf_dir), _within(_one_query(spark), L.scope()), R.CANDIDATES)
     # A vector without a document is a stale point: it takes a place and is dropped after fusion.
-    pool = vectors.join(docs, F.col("vec_id") == F.col("chunk_id"), "left").filter(F.col("chunk_id").isNull() | R.passes(**filters, null_type=True))
+    pool = vectors.join(docs, F.col("vec_id") == F.col("chunk_id"), "left").filter(F.col("chunk_id").isNull() | R.passes(null_type=True))
     queries = vectors.filter("vec_id = 3").select(F.lit(0).cast("long").alias("query_id"), "embedding")
     scored = R.vector_scores(pool.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries)
     return R.top(scored, ["query_id"], "score", "chunk_id", R.CANDIDATES), lexical
@@ -157,16 +168,13 @@ SELECT query_id, variant, chunk_id, score, rank FROM best JOIN (SELECT query_id,
 @query("r7_relaxed_search", _RELAX_SQL)
 def relaxed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four filter variants a query; the first that finds enough sources is kept."""
-    docs = corpus(spark, sf_dir).filter(R.passes())
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    asked = items.select("query_id", F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("xx")), (F.col("query_id") % 3 + 1).cast("int")).alias("ask_topic"), F.when(F.col("query_id") % 2 == 0, "graduate").alias("ask_type"))
-    scored = R.bm25(docs, items).join(asked, "query_id").join(docs.select("chunk_id", "topic", "student_types", "url"), "chunk_id")
-    no_topic, no_type = F.col("variant").bitwiseAND(1) == 1, F.col("variant").bitwiseAND(2) == 2
-    fits = F.size("student_types") == 0
-    fits = F.col("ask_type").isNull() | fits | F.array_contains("student_types", F.col("ask_type"))
-    variants = scored.withColumn("variant", F.explode(F.array(*map(F.lit, range(4))))).filter((no_topic | (F.col("topic") == F.col("ask_topic"))) & (no_type | fits))
-    variants = variants.filter((F.col("variant") < 2) | F.col("ask_type").isNotNull())
-    found = R.top(variants, ["query_id", "variant"], "score", "chunk_id", 5)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    asked = items.withColumn("ask_topic", F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("xx")), (F.col("item") % 3 + 1).cast("int"))).withColumn("ask_type", F.when(F.col("item") % 2 == 0, "graduate"))
+    variants = asked.withColumn("variant", F.explode(F.array(*map(F.lit, range(4))))).filter((F.col("variant") < 2) | F.col("ask_type").isNotNull())
+    without = lambda bit, c: F.when(F.col("variant").bitwiseAND(bit) == 0, F.col(c))
+    queries = variants.select(F.struct(F.col("item").alias("query_id"), "variant").alias("query_id"), "text", L.scope(without(1, "ask_topic"), without(2, "ask_type")).alias("scope"), L.scope().alias("statistics"))
+    urls = corpus(spark, sf_dir).select("chunk_id", "url")
+    found = L.search(index(spark, sf_dir), queries, 5).select("query_id.*", "chunk_id", "score", "rank").join(urls, "chunk_id")
     return R.relax(found).select("query_id", "variant", "chunk_id", "score", "rank")
 
 
@@ -232,9 +240,42 @@ def topic_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a13_bm25_statistics", f"""WITH {_ALL_SQL}, q AS (SELECT 0 AS query_id, '' AS text), {bm25_sql('docs', 'q', 's')}
 SELECT (SELECT n FROM s_n) AS n, (SELECT round(avgdl, 6) FROM s_n) AS avgdl, count(*) AS terms, round(avg(idf), 6) AS mean_idf, (SELECT CAST(sum(tf) AS BIGINT) FROM s_tf) AS postings FROM s_raw""")
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
-    totals = ts.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    df = ts.select("doc_id", F.explode("ts").alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tf"))
-    joined = df.crossJoin(F.broadcast(totals))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return joined.groupBy("n", F.round("avgdl", 6).alias("avgdl")).agg(F.count("*").alias("terms"), F.round(F.avg(idf), 6).alias("mean_idf"), F.sum("tf").alias("postings"))
+    """A13 from the stored index: no text is read again."""
+    everything = index(spark, sf_dir).scopes.filter(F.col("scope") == L.EVERYTHING)
+    return everything.select("n", F.round("avgdl", 6).alias("avgdl"), "terms", F.round("mean_idf", 6).alias("mean_idf"), F.col("words").alias("postings"))
+
+
+#: Filters of topic and student type, each with statistics of its own.
+_FILTERS = [("en", None), (None, "graduate"), ("fr", "freshman")]
+_PASSES_SQL = "SELECT chunk_id, content FROM corpus WHERE index_status = 'approved'{}{}"
+_FILTERED_SQL = ", ".join(
+    f"f{i} AS ({_PASSES_SQL.format('' if t is None else f' AND topic = {t!r}', '' if s is None else f' AND (len(student_types) = 0 OR list_contains(student_types, {s!r}))')}), {bm25_sql(f'f{i}', 'items', f's{i}')}"
+    for i, (t, s) in enumerate(_FILTERS)
+)
+_UNION_SQL = " UNION ALL ".join(f"SELECT {i} AS filter, * FROM s{i}" for i in range(len(_FILTERS)))
+
+
+@query("r6_filtered_scores", f"WITH {CORPUS_SQL}, {_ITEMS_SQL}, {_FILTERED_SQL}, u AS ({_UNION_SQL}) {top_sql('u', 'filter, query_id', 'score', 'chunk_id', 10, 'filter, query_id, chunk_id, score, rank')}")
+def filtered_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item under three filters, scored as an index over the filtered chunks alone would."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    filters = F.array(*(F.struct(F.lit(i).alias("filter"), L.scope(*(None if c is None else F.lit(c) for c in f)).alias("scope")) for i, f in enumerate(_FILTERS)))
+    queries = items.select("item", "text", F.explode(filters).alias("f")).select(F.struct("f.filter", F.col("item").alias("query_id")).alias("query_id"), "text", "f.scope", F.col("f.scope").alias("statistics"))
+    return L.search(index(spark, sf_dir), queries, 10).select("query_id.*", "chunk_id", "score", "rank")
+
+
+_SCOPES_SQL = """cells AS (SELECT t.topic, y.student_type, c.chunk_id, ts FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS ts FROM corpus WHERE index_status = 'approved') c
+  JOIN (SELECT DISTINCT topic FROM corpus UNION ALL SELECT NULL) t ON t.topic IS NULL OR t.topic = c.topic
+  JOIN (SELECT unnest(['freshman', 'graduate', 'transfer', NULL]) AS student_type) y ON y.student_type IS NULL OR len(student_types) = 0 OR list_contains(student_types, y.student_type)),
+sizes AS (SELECT topic, student_type, count(*) AS n, avg(len(ts)) AS avgdl FROM cells GROUP BY ALL),
+freq AS (SELECT topic, student_type, term, count(DISTINCT chunk_id) AS df FROM (SELECT topic, student_type, chunk_id, unnest(ts) AS term FROM cells) GROUP BY ALL)"""
+
+
+@query("r6_filter_statistics", f"""WITH {CORPUS_SQL}, {_SCOPES_SQL} SELECT s.topic, s.student_type, n, round(avgdl, 6) AS avgdl, count(*) AS terms, round(avg(ln(n - df + 0.5) - ln(df + 0.5)), 6) AS mean_idf
+FROM sizes s JOIN freq f ON f.topic IS NOT DISTINCT FROM s.topic AND f.student_type IS NOT DISTINCT FROM s.student_type GROUP BY s.topic, s.student_type, n, avgdl""")
+def filter_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, mean length, words and mean weight of every filter of topic and student type, as the index keeps them."""
+    part = lambda i: F.split("scope", "\x1f")[i]
+    name = lambda i: F.when(part(i) != "*", F.substring(part(i), 2, 1 << 20))
+    rows = index(spark, sf_dir).scopes.filter((F.col("scope") != L.EVERYTHING) & (F.col("terms") > 0))
+    return rows.select(name(1).alias("topic"), name(2).alias("student_type"), "n", F.round("avgdl", 6).alias("avgdl"), "terms", F.round("mean_idf", 6).alias("mean_idf"))
