@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.operators import lexical as L
 from loam.operators import retrieval as R
+from loam.operators import vectors as V
 from loam.operators.blocks import kept
 from loam.operators.store import built, fingerprint
 from loam.plans.registry import query
@@ -117,6 +118,18 @@ def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(own.unionByName(rest), ["query_id"], "sim", "vec_id", k)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> V.Index:
+    key = fingerprint(spark, f"{sf_dir}/embeddings.parquet")
+    return V.opened(spark, built(spark, "vectors", key, lambda path: V.build(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), path)))
+
+
+@query("r3_vector_index")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every fiftieth vector by the stored index; approximate, so without SQL."""
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(vector_index(spark, sf_dir), queries, 20)
+
+
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
