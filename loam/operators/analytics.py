@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.operators.blocks import broadcast_if_small, kept
+
 # The tuning rule.
 MIN_SAMPLES, FLAG_RATE, MARGIN, STEP, CEILING, PRECISION_SLACK = 20, 0.15, 1.0, 0.25, 3.0, 0.01
 
@@ -26,14 +28,45 @@ def feedback_ratio(rows: DataFrame) -> DataFrame:
     return rows.agg(n("helpful").alias("helpful"), n("not_helpful").alias("not_helpful"), F.round(ratio, 6).alias("helpful_ratio"))
 
 
+#: Bins of a round of selection; ranges that go to every task.
+BINS, SMALL = 1_024, 100_000
+
+
+def selected(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, name, low): of rows(k, v) the value at each place, counted from 0 in rising order, of wanted(k, name, place, low, high).
+
+    low and high are a key's least and largest value. A round counts the values in BINS bins of each range that is still open and goes on
+    with the bin that holds the place, from its least to its largest value, until both are the same. So a place is found by
+    partial counts, in as many rounds as values share leading digits; no key's values are sorted or meet in one task.
+    """
+    done = None
+    while True:
+        wanted = kept(wanted)
+        closed = wanted.filter("NOT low < high").select("k", "name", "low")
+        done = closed if done is None else done.unionByName(closed)
+        still = wanted.filter("low < high")
+        if still.isEmpty():
+            return done
+        asked = broadcast_if_small(still.withColumnRenamed("k", "_k"), SMALL)
+        met = rows.join(asked, F.col("k").eqNullSafe(F.col("_k")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).drop("_k")
+        # Halves, so that ranges of opposite signs don't overflow; the order of values is that of their bins.
+        share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        bins = met.groupBy("k", "name", "place", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("k", "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # BINS rows at most
+        inside = bins.withColumn("before", before).filter((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+        wanted = inside.select("k", "name", (F.col("place") - F.col("before")).alias("place"), "low", "high")
+
+
 def nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, p50, p95, p99 and max of each key by nearest rank: counted, ranked, picked; nothing is gathered."""
-    by_key = Window.partitionBy(key)
-    ranked = rows.select(key, F.col(value).alias("v"), F.row_number().over(by_key.orderBy(value)).alias("place"))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    joined = ranked.join(sizes, ranked[key].eqNullSafe(sizes[key])).drop(sizes[key])
-    at = lambda p: F.round(F.max(F.when(F.col("place") == F.least(F.col("n"), F.floor(F.col("n") * p) + 1), F.col("v"))), 6)
-    return joined.groupBy(key).agg(F.round(F.avg("v"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.max("v"), 6).alias("max"))
+    """Mean, p50, p95, p99 and max of each key by nearest rank, without nulls: the value at place floor(n * p) from 0, at most the last."""
+    values = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    sizes = kept(values.groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")))
+    places = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * p)).alias("place")) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    found = selected(values, sizes.select("k", "low", "high", F.explode(places).alias("w")).select("k", "w.*", "low", "high"))
+    at = lambda name: F.round(F.max(F.when(F.col("name") == name, F.col("value"))), 6).alias(name)
+    picked = found.select(F.col("k").alias("_k"), "name", F.col("low").alias("value"))
+    joined = sizes.join(picked, F.col("k").eqNullSafe(F.col("_k")))
+    return joined.groupBy(F.col("k").alias(key)).agg(F.round(F.max("mean"), 6).alias("mean"), at("p50"), at("p95"), at("p99"), F.round(F.max("high"), 6).alias("max"))
 
 
 def tuning_candidate(rows: DataFrame, current: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.operators import embed as M
 from loam.operators import lexical as L
 from loam.operators import retrieval as R
 from loam.operators import vectors as V
@@ -130,6 +131,24 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search(vector_index(spark, sf_dir), queries, 20)
 
 
+def text_vectors(spark: SparkSession, sf_dir: str) -> tuple[M.Embedder, V.Index]:
+    """The embedder of the documents, and the index of their vectors."""
+    key = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    path = built(spark, "embedder", key, lambda path: M.build(corpus(spark, sf_dir), path))
+    embedder, vectors = M.opened(spark, path)
+    index = built(spark, "text-vectors", key, lambda path: V.build(vectors.select(F.col("chunk_id").alias("vec_id"), "embedding"), path))
+    return embedder, V.opened(spark, index)
+
+
+@query("r12_embedded_search")
+def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12 with R2 and R3: every item's text as a vector, and the ten nearest documents found by the index; approximate, so without SQL."""
+    embedder, vectors = text_vectors(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    found = V.search(vectors, kept(M.embedded(items, embedder, "query_id")), 10)
+    return found.select("query_id", F.col("vec_id").alias("chunk_id"), F.col("sim").alias("score"), "rank")
+
+
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")

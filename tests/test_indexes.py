@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import lexical, retrieval, substrings, vectors
+from loam.operators import embed, lexical, retrieval, substrings, vectors
 from loam.operators.store import built, fingerprint
 from loam.sources.tables import corpus
 
@@ -136,3 +136,52 @@ def test_vector_index_of_odd_inputs(spark, tmp_path):
     assert [(r["query_id"], r["vec_id"], r["sim"]) for r in found] == [(0, 1, 1.0), (0, 11, 1.0)]
     vectors.build(df.limit(0), str(tmp_path / "b"))
     assert vectors.search(vectors.opened(spark, str(tmp_path / "b")), queries, 2).count() == 0
+
+
+def test_embedder_against_a_plain_decomposition(spark, tmp_path):
+    """The rows of 400 documents keep as much along our axes as along numpy's own; vectors are rows along the axes."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("doc_id < 400").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    embed.build(docs, str(tmp_path))
+    embedder, found = embed.opened(spark, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/counts").collect()
+    a, n = np.zeros((len(rows), embed.WIDTH)), len(rows)
+    for i, r in enumerate(rows):
+        np.add.at(a[i], r["buckets"], r["counts"])
+    weights = np.log(1 + n / np.maximum((a > 0).sum(axis=0), 1)) * (a > 0).any(axis=0)
+    assert np.allclose(weights, embedder.weights)
+    a = np.where(a > 0, 1 + np.log(np.maximum(a, 1)), 0) * weights
+    a /= np.maximum(np.linalg.norm(a, axis=1), 1e-300)[:, None]
+    best = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(embedder.axes.T @ embedder.axes, np.eye(embed.DIMENSIONS), atol=1e-8)
+    lost = lambda kept: (a**2).sum() - kept
+    assert lost(((a @ embedder.axes) ** 2).sum()) <= 1.02 * lost((best[: embed.DIMENSIONS] ** 2).sum())
+    assert np.allclose(embedder.values[:10], best[:10], rtol=1e-2)
+    got = {r["chunk_id"]: r["embedding"] for r in found.collect()}
+    along = a @ embedder.axes
+    for r, v in zip(rows, along, strict=True):
+        assert got[r["chunk_id"]] is None if not v.any() else np.allclose(got[r["chunk_id"]], v / np.linalg.norm(v), atol=1e-5)
+
+
+def test_texts_find_their_documents(spark):
+    """Asked with the later two thirds of its text, a document is among its ten nearest nine times in ten."""
+    from loam.plans.retrieval import text_vectors
+
+    embedder, index = text_vectors(spark, SF_DIR)
+    docs = [r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("doc_id % 10 = 0").collect() if r["text"] and len(r["text"].split()) >= 100]
+    asked = spark.createDataFrame([(r["doc_id"], r["text"][len(r["text"]) // 3 :]) for r in docs], "query_id long, content string")
+    found = {}
+    for r in vectors.search(index, embed.embedded(asked, embedder, "query_id"), 10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(docs) > 30 and sum(r["doc_id"] in found[r["doc_id"]] for r in docs) >= 0.9 * len(docs)
+
+
+def test_embedder_of_odd_inputs(spark, tmp_path):
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "!?"), (3, "one two"), (4, "one two"), (5, "three " * 50_000)], "chunk_id long, content string")
+    embed.build(docs, str(tmp_path / "a"))
+    embedder, found = embed.opened(spark, str(tmp_path / "a"))
+    got = {r["chunk_id"]: r["embedding"] for r in found.collect()}
+    assert [got[i] for i in range(3)] == [None] * 3 and got[3] == got[4] and got[5] is not None
+    asked = embed.embedded(spark.createDataFrame([(0, "two"), (1, "unheard"), (2, None)], "query_id long, content string"), embedder, "query_id").collect()
+    assert [r["embedding"] is None for r in sorted(asked)] == [False, True, True]
+    embed.build(docs.limit(0), str(tmp_path / "b"))
+    assert embed.opened(spark, str(tmp_path / "b"))[1].count() == 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from urllib.parse import urljoin
 
 import pytest
@@ -78,6 +79,19 @@ def test_turn_rates_skip_unknown_values(spark):
     assert found["grounded_rate"] == pytest.approx(1 / 3, abs=1e-6)
 
 
+def test_nearest_ranks_are_selected_without_sorting_a_key(spark):
+    rng = random.Random(3)
+    values = {"hot": [rng.lognormvariate(3, 2) for _ in range(9_000)] + [7.0] * 9_000, "one": [5.0], "same": [2.5] * 40, None: [-1e308, 1e308, 0.0, -0.5], "signs": [rng.uniform(-1, 1) ** 9 for _ in range(500)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("hot", None)], "topic string, ms double")
+    found = analytics.nearest_rank(rows, "topic", "ms")
+    for r in found.collect():
+        ordered = sorted(values[r["topic"]])
+        at = lambda p: ordered[min(len(ordered) - 1, int(len(ordered) * p))]  # noqa: B023, E731
+        assert [r["p50"], r["p95"], r["p99"], r["max"]] == pytest.approx([at(0.5), at(0.95), at(0.99), ordered[-1]], abs=1e-6)
+    assert found.count() == len(values) and "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert analytics.nearest_rank(rows.limit(0), "topic", "ms").count() == 0
+
+
 @pytest.mark.parametrize(("bad", "score", "n", "wanted"), [(20, 1.2, 19, "insufficient_samples"), (2, 1.2, 20, "no_signal"), (10, 1.2, 20, "candidate"), (10, 9.0, 20, "no_signal")])
 def test_tuning_candidate(spark, bad, score, n, wanted):
     rows = [("not_helpful" if i < bad else "helpful", [(score,), (None,)]) for i in range(n)] + [("not_helpful", None), ("not_helpful", [(None,)])]
