@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -48,6 +49,14 @@ def built(spark: SparkSession, kind: str, key: str, build: Callable[[str], None]
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends here."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loam/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def finish(df: DataFrame, path: str) -> None:
     """Write the table that says that the others are whole."""
     df.write.mode("overwrite").parquet(f"{path}/done")

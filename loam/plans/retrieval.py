@@ -131,6 +131,25 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search(vector_index(spark, sf_dir), queries, 20)
 
 
+_COVERED_SQL = f"len(list_intersect(list_distinct({TOKENS_SQL.format('i.text')}), list_distinct({TOKENS_SQL.format('content')}))) / len(list_distinct({TOKENS_SQL.format('i.text')}))"
+_FEEDBACK_SQL = f"""WITH {_ITEMS_SQL}, {_ALL_SQL}, {bm25_sql('docs', 'items', 's')}, ranked AS MATERIALIZED ({top_sql('s', 'query_id', 'score', 'chunk_id', 10)}),
+short AS (SELECT r.query_id FROM ranked r JOIN items i USING (query_id) JOIN docs USING (chunk_id) WHERE rank = 1 AND {_COVERED_SQL} < {L.ENOUGH}),
+shared AS (SELECT r.query_id, r.chunk_id, i.text, unnest({TOKENS_SQL.format('content')}) AS term FROM ranked r JOIN short USING (query_id) JOIN items i USING (query_id) JOIN docs USING (chunk_id) WHERE rank <= {L.FEEDBACK_CHUNKS}),
+counted AS (SELECT query_id, text, term, count(DISTINCT chunk_id) AS n, count(*) AS tf FROM shared WHERE NOT list_contains({TOKENS_SQL.format('text')}, term) GROUP BY ALL),
+again AS MATERIALIZED (SELECT query_id, text || ' ' || string_agg(term, ' ') AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, tf DESC, term) AS place FROM counted) WHERE place <= {L.FEEDBACK_WORDS} GROUP BY query_id, text),
+{bm25_sql('docs', 'again', 'z')}, second AS ({top_sql('z', 'query_id', 'score', 'chunk_id', 10)})
+SELECT query_id AS item_id, 1 AS attempt, chunk_id AS doc_id, score, rank FROM ranked WHERE query_id NOT IN (SELECT query_id FROM again) UNION ALL SELECT query_id, 2, chunk_id, score, rank FROM second"""
+
+
+@query("n10_relevance_feedback", _FEEDBACK_SQL)
+def relevance_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose best document lacks a quarter of their words are searched again, with words of their best documents."""
+    items = _within(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), F.lit(L.EVERYTHING))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    found = L.two_passes(index(spark, sf_dir), items, docs, 10)
+    return found.select(F.col("query_id").alias("item_id"), "attempt", F.col("chunk_id").alias("doc_id"), "score", "rank")
+
+
 def text_vectors(spark: SparkSession, sf_dir: str) -> tuple[M.Embedder, V.Index]:
     """The embedder of the documents, and the index of their vectors."""
     key = fingerprint(spark, f"{sf_dir}/documents.parquet")
