@@ -37,7 +37,8 @@ def model_answers(prompts: DataFrame, model: AnswerModel, failed: str = "The ans
 
 def judged(scores: Column) -> Column:
     """A judge's score within 0 and 1; null where it isn't a number."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_cast(scores, "double") if hasattr(F, "try_cast") else scores.try_cast("double")))
+    value = scores.try_cast("double")
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def decomposed(question: Column, parts: Column | None = None, most: int = 3) -> Column:
