@@ -150,21 +150,26 @@ def relevance_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), "attempt", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
+def embedder(spark: SparkSession, sf_dir: str) -> tuple[M.Embedder, DataFrame]:
+    """The embedder of the documents, and their vectors (chunk_id, embedding)."""
+    key = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    return M.opened(spark, built(spark, "embedder", key, lambda path: M.build(corpus(spark, sf_dir), path)))
+
+
 def text_vectors(spark: SparkSession, sf_dir: str) -> tuple[M.Embedder, V.Index]:
     """The embedder of the documents, and the index of their vectors."""
+    fitted, vectors = embedder(spark, sf_dir)
     key = fingerprint(spark, f"{sf_dir}/documents.parquet")
-    path = built(spark, "embedder", key, lambda path: M.build(corpus(spark, sf_dir), path))
-    embedder, vectors = M.opened(spark, path)
     index = built(spark, "text-vectors", key, lambda path: V.build(vectors.select(F.col("chunk_id").alias("vec_id"), "embedding"), path))
-    return embedder, V.opened(spark, index)
+    return fitted, V.opened(spark, index)
 
 
 @query("r12_embedded_search")
 def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12 with R2 and R3: every item's text as a vector, and the ten nearest documents found by the index; approximate, so without SQL."""
-    embedder, vectors = text_vectors(spark, sf_dir)
+    fitted, vectors = text_vectors(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    found = V.search(vectors, kept(M.embedded(items, embedder, "query_id")), 10)
+    found = V.search(vectors, kept(M.embedded(items, fitted, "query_id")), 10)
     return found.select("query_id", F.col("vec_id").alias("chunk_id"), F.col("sim").alias("score"), "rank")
 
 
