@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.operators import ingest as I
+from loam.operators import rechunk as R
+from loam.operators.blocks import spread
 from loam.plans.registry import query
-from loam.sources.tables import CORPUS_SQL, corpus
+from loam.sources.tables import CORPUS_SQL, corpus, table
 
 _STORED_SQL = """stored AS (SELECT url, sha256(content) AS content_hash, title, department, topic, CASE WHEN chunk_id % 4 = 0 THEN NULL WHEN chunk_id % 4 = 1 THEN 'stale' ELSE sha256(content) END AS embedded_hash,
   index_status, CASE WHEN chunk_id % 2 = 0 THEN 1 END AS last_crawled FROM corpus WHERE chunk_id % 5 <> 0)"""
@@ -108,3 +110,39 @@ def topic_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.remapped(docs, renames, "de", "english", found, 0.55)
 
 
+
+
+# A document's chunks are blocks of 50 words. By its number its new version is the same, has its first two blocks at the end, a new
+# block after the second, no second block, or one word more at its start.
+_WORDS = 50
+_BLOCKS_SQL = f"SELECT document_id, i AS place, array_to_string(list_slice(w, i * {_WORDS} + 1, (i + 1) * {_WORDS}), ' ') AS content FROM (SELECT document_id, w, unnest(generate_series(0, (len(w) - 1) // {_WORDS})) AS i FROM {{0}} WHERE len(w) > 0)"
+_RECHUNK_SQL = f"""WITH before AS (SELECT doc_id AS document_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+after AS (SELECT document_id, CASE document_id % 5 WHEN 1 THEN list_concat(list_slice(w, 101, len(w)), list_slice(w, 1, 100)) WHEN 2 THEN list_concat(list_concat(list_slice(w, 1, 100), [ 'new' FOR x IN generate_series(1, 50) ]), list_slice(w, 101, len(w)))
+  WHEN 3 THEN list_concat(list_slice(w, 1, 50), list_slice(w, 101, len(w))) WHEN 4 THEN list_concat(['new'], w) ELSE w END AS w FROM before),
+old AS ({_BLOCKS_SQL.format('before')}), fresh AS ({_BLOCKS_SQL.format('after')}),
+o AS (SELECT document_id, place AS old_place, content, row_number() OVER (PARTITION BY document_id, content ORDER BY place) AS nth FROM old),
+n AS (SELECT document_id, place AS new_place, content, row_number() OVER (PARTITION BY document_id, content ORDER BY place) AS nth FROM fresh),
+met AS (SELECT document_id, old_place, new_place, new_place - old_place AS shift FROM o FULL JOIN n USING (document_id, content, nth)),
+islands AS (SELECT document_id, shift, new_place, new_place - row_number() OVER (PARTITION BY document_id, shift ORDER BY new_place) AS island FROM met WHERE shift <> 0),
+runs AS (SELECT document_id, shift, min(new_place) AS low, max(new_place) AS high FROM islands GROUP BY document_id, shift, island),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY high - low DESC, low) AS place FROM runs) WHERE place = 1)
+SELECT m.document_id, old_place, new_place, CASE WHEN old_place IS NULL THEN 'added' WHEN new_place IS NULL THEN 'removed' WHEN m.shift = 0 THEN 'kept' WHEN m.shift = l.shift AND new_place BETWEEN low AND high THEN 'shifted' ELSE 'moved' END AS change
+FROM met m LEFT JOIN longest l ON l.document_id = m.document_id"""
+
+
+def _blocks(words: DataFrame) -> DataFrame:
+    """(document_id, place, content): blocks of words(document_id, w)."""
+    n = F.floor((F.size("w") - 1) / _WORDS)
+    rows = words.filter(F.size("w") > 0).select("document_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.array_join(F.slice("w", (i * _WORDS + 1).cast("int"), _WORDS), " "))))
+    return rows.select("document_id", F.col("pos").cast("long").alias("place"), F.col("col").alias("content"))
+
+
+@query("st9_rechunk_changes", _RECHUNK_SQL)
+def rechunk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST9: what a new version of every document keeps, shifts, moves, adds and removes of its chunks."""
+    before = spread(table(spark, sf_dir, "documents").filter("text IS NOT NULL")).select(F.col("doc_id").alias("document_id"), F.split("text", " ", -1).alias("w"))
+    i, rest = F.col("document_id") % 5, lambda n: F.slice("w", n + 1, F.size("w") + 1)
+    new = F.array_repeat(F.lit("new"), 50)
+    edited = F.when(i == 1, F.concat(rest(100), F.slice("w", 1, 100))).when(i == 2, F.concat(F.slice("w", 1, 100), new, rest(100))).when(i == 3, F.concat(F.slice("w", 1, 50), rest(100)))
+    after = before.select("document_id", edited.when(i == 4, F.concat(F.array(F.lit("new")), "w")).otherwise(F.col("w")).alias("w"))
+    return R.changes(_blocks(before), _blocks(after))
