@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.operators import ingest as I
 from loam.operators import rechunk as R
+from loam.operators import upsert as U
 from loam.operators.blocks import spread
+from loam.operators.store import shared_dir
 from loam.plans.registry import query
 from loam.sources.tables import CORPUS_SQL, corpus, table
 
@@ -49,15 +53,28 @@ def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.version_rows(decided(spark, sf_dir))
 
 
-@query("st5_st7_upserted_documents", f"""{_DECIDED_SQL}, taken AS (SELECT * FROM decided WHERE status <> 'failed')
+_UPSERTED_SQL = f"""{_DECIDED_SQL}, taken AS (SELECT * FROM decided WHERE status <> 'failed')
 SELECT coalesce(s.url, t.url) AS url, CASE WHEN t.status IN ('created', 'updated') THEN t.content_hash ELSE s.content_hash END AS content_hash, CASE WHEN t.status IN ('created', 'updated') THEN t.title ELSE s.title END AS title,
   CASE WHEN t.status IN ('created', 'updated') THEN t.department ELSE s.department END AS department, CASE WHEN t.status IN ('created', 'updated') THEN t.topic ELSE s.topic END AS topic,
-  CASE WHEN NOT coalesce(t.content_changed, false) THEN embedded_hash END AS embedded_hash, coalesce(index_status, 'approved') AS index_status, coalesce(crawled, last_crawled) AS last_crawled FROM stored s FULL JOIN taken t ON t.url = s.url""")
+  CASE WHEN NOT coalesce(t.content_changed, false) THEN embedded_hash END AS embedded_hash, coalesce(index_status, 'approved') AS index_status, coalesce(crawled, last_crawled) AS last_crawled FROM stored s FULL JOIN taken t ON t.url = s.url"""
+
+
+@query("st5_st7_upserted_documents", _UPSERTED_SQL)
 def upserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5, ST7."""
     return I.after_ingest(decided(spark, sf_dir), stored(spark, sf_dir))
 
 
+@query("st7_partitioned_upsert", _UPSERTED_SQL)
+def partitioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5, ST7, S13: the same, into a stored table in partitions by department and bucket of the URL; those without incoming documents stay."""
+    path = f"{shared_dir(spark)}/loam-documents/{uuid.uuid4().hex}"
+    U.create(stored(spark, sf_dir), path, "url", "department", 4)
+    taken = decided(spark, sf_dir).filter("status <> 'failed'").drop("content")
+    U.upsert(spark, path, taken, "url", "department", 4, lambda old, changes: I.after_ingest(changes, old))
+    return U.opened(spark, path)
+
+
 @query("f9_needs_index", f"WITH {CORPUS_SQL}, {_STORED_SQL} SELECT url FROM stored WHERE embedded_hash IS NULL OR embedded_hash <> content_hash")
 def needs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.needs_index(stored(spark, sf_dir)).select("url")
