@@ -5,56 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Places of a document that are numbered in one task; longer documents are cut into segments of so many.
-SEGMENT = 4_096
 
-
-def occurrences(chunks: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(document_id, place, digest, nth) of chunks(document_id, place, content): the nth chunk with this content in its document, from 1.
-
-    A chunk without content (null) equals others without. A content that a document repeats any number of times is counted by
-    segments of places, whose totals are then summed.
-    """
-    rows = chunks.select("document_id", "place", F.coalesce(F.sha2("content", 256), F.lit("null")).alias("digest"), F.floor(F.col("place") / segment).alias("segment"))
-    keys = ["document_id", "digest", "segment"]
-    before = F.sum("n").over(Window.partitionBy("document_id", "digest").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(before, F.lit(0)).alias("before"))
-    here = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
-    return rows.withColumn("here", here).join(totals, keys).select("document_id", "place", "digest", (F.col("before") + F.col("here")).alias("nth"))
-
-
-def runs(pairs: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(document_id, shift, first, last): maximal runs of pairs(document_id, shift, new_place) with consecutive places and one shift.
-
-    Runs are found within segments; those that touch a segment's edge are then joined, two at most for each segment and shift.
-    """
-    by = ["document_id", "shift"]
-    cut = pairs.withColumn("segment", F.floor(F.col("new_place") / segment))
-    island = F.col("new_place") - F.row_number().over(Window.partitionBy(*by, "segment").orderBy("new_place"))
-    pieces = cut.withColumn("island", island).groupBy(*by, "segment", "island").agg(F.min("new_place").alias("first"), F.max("new_place").alias("last"))
-    edge = (F.pmod("first", F.lit(segment)) == 0) | (F.pmod(F.col("last") + 1, F.lit(segment)) == 0)
-    whole = pieces.filter(~edge).select(*by, "first", "last")
-    in_order = Window.partitionBy(*by).orderBy("first")
-    parts = pieces.filter(edge).withColumn("starts", (F.col("first") != F.coalesce(F.lag("last").over(in_order) + 1, F.lit(-1))).cast("long"))
-    chains = parts.withColumn("chain", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return whole.unionByName(chains.groupBy(*by, "chain").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("chain"))
-
-
-def changes(old: DataFrame, new: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(document_id, old_place, new_place, change) of chunks old and new (document_id, place, content); a chunk is known by document and place.
 
-    The nth chunk of a content is matched with the nth of the same content in the document. A matched chunk is kept (at its
-    place), shifted (in the document's longest run of chunks that changed places together, the first if several are as long) or
-    moved; others are added or removed. Places count from 0.
+    The nth chunk of a content is matched with the nth of the same content in the document; chunks without content (null) are
+    alike. A matched chunk is kept (at its place), shifted (in the document's longest run of consecutive chunks that changed
+    places together, the first if several are as long) or moved; others are added or removed. Places count from 0.
+
+    Chunks are shuffled once, as places and digests of 16 bytes, by document; a document's are in one task, as its text was.
     """
-    left = occurrences(old, segment).withColumnRenamed("place", "old_place")
-    met = left.join(occurrences(new, segment).withColumnRenamed("place", "new_place"), ["document_id", "digest", "nth"], "full").withColumn("shift", F.col("new_place") - F.col("old_place"))
-    found = runs(met.filter("shift <> 0").select("document_id", "shift", "new_place"), segment)
-    longest = found.groupBy("document_id").agg(F.max(F.struct((F.col("last") - F.col("first")).alias("length"), (-F.col("first")).alias("low"), "shift")).alias("run"))
-    spans = longest.select("document_id", (-F.col("run.low")).alias("_first"), (F.col("run.length") - F.col("run.low")).alias("_last"), F.col("run.shift").alias("_shift"))
-    together = (F.col("shift") == F.col("_shift")) & F.col("new_place").between(F.col("_first"), F.col("_last"))
+    digest = F.unhex(F.substring(F.sha2("content", 256), 1, 32)).alias("digest")
+    side = lambda df, fresh: df.select("document_id", F.lit(fresh).alias("fresh"), "place", digest)
+    rows = side(old, False).unionByName(side(new, True)).repartition("document_id")
+    within = lambda *by: Window.partitionBy("document_id", *by)
+    numbered = rows.withColumn("nth", F.row_number().over(within("fresh", "digest").orderBy("place")))
+    place = lambda fresh, name: F.max(F.when(F.col("fresh") == fresh, F.col("place"))).alias(name)
+    met = numbered.groupBy("document_id", "digest", "nth").agg(place(False, "old_place"), place(True, "new_place")).withColumn("shift", F.col("new_place") - F.col("old_place"))
+    islands = met.withColumn("island", F.col("new_place") - F.row_number().over(within("shift").orderBy("new_place")))
+    run = F.struct(F.count("*").over(within("shift", "island")).alias("length"), (-F.min("new_place").over(within("shift", "island"))).alias("low"))
+    sized = islands.withColumn("run", F.when(F.col("shift") != 0, run))
+    together = F.col("run") == F.max("run").over(within())
     change = F.when(F.col("old_place").isNull(), "added").when(F.col("new_place").isNull(), "removed").when(F.col("shift") == 0, "kept").when(together, "shifted").otherwise("moved")
-    return met.join(spans, "document_id", "left").select("document_id", "old_place", "new_place", change.alias("change"))
+    return sized.select("document_id", "old_place", "new_place", change.alias("change"))
 
 
 def carried(new: DataFrame, changed: DataFrame, old: DataFrame) -> DataFrame:

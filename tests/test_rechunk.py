@@ -1,4 +1,4 @@
-"""Changes of a new chunking against a plain version, with segments small enough to be cut."""
+"""Changes of a new chunking against a plain version."""
 
 from __future__ import annotations
 
@@ -47,17 +47,17 @@ def random_chunks(rng):
     return old, new
 
 
-@pytest.mark.parametrize("segment", [1, 4, rechunk.SEGMENT])
-def test_changes_equal_the_plain_version(spark, segment):
-    old, new = random_chunks(random.Random(segment))
-    found = rechunk.changes(spark.createDataFrame(old, CHUNKS), spark.createDataFrame(new, CHUNKS), segment).collect()
+@pytest.mark.parametrize("seed", range(3))
+def test_changes_equal_the_plain_version(spark, seed):
+    old, new = random_chunks(random.Random(seed))
+    found = rechunk.changes(spark.createDataFrame(old, CHUNKS), spark.createDataFrame(new, CHUNKS)).collect()
     assert {tuple(r) for r in found} == plainly(old, new) and len(found) == len({tuple(r) for r in found})
 
 
 def test_one_document_of_copies(spark):
-    """A document that is a content repeated: nothing is lost, and numbering goes by segments."""
+    """A document that is a content repeated: nothing is lost."""
     old, new = [(0, n, "same") for n in range(3_000)], [(0, n, "same") for n in range(2_500)]
-    found = rechunk.changes(spark.createDataFrame(old, CHUNKS), spark.createDataFrame(new, CHUNKS), 64).groupBy("change").count().collect()
+    found = rechunk.changes(spark.createDataFrame(old, CHUNKS), spark.createDataFrame(new, CHUNKS)).groupBy("change").count().collect()
     assert {r["change"]: r["count"] for r in found} == {"kept": 2_500, "removed": 500}
 
 
@@ -73,3 +73,10 @@ def test_empty_sides(spark):
     assert [tuple(r) for r in rechunk.changes(none, one).collect()] == [(1, None, 0, "added")]
     assert [tuple(r) for r in rechunk.changes(one, none).collect()] == [(1, 0, None, "removed")]
     assert rechunk.changes(none, none).count() == 0
+
+
+def test_one_shuffle(spark):
+    df = spark.createDataFrame([(1, 0, "a")], CHUNKS)
+    found = rechunk.changes(df, df)
+    found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
