@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import answers as N
+from loam.operators.blocks import broadcast_if_small
+from loam.operators.lexical import SMALL
 from loam.plans.registry import query
 from loam.plans.retrieval import RERANKED_SQL, reranked
 from loam.plans.texts import ANSWER_TERMS_SQL, SENTENCES_SQL, _sql_any
@@ -20,7 +22,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked chunks with their metadata; pairs of documents stand for chunks of one section."""
     meta = corpus(spark, sf_dir).select("chunk_id", "title", "url", "department")
     half = F.floor(F.col("chunk_id") / 2)
-    found = reranked(spark, sf_dir).join(meta, "chunk_id")
+    found = meta.join(broadcast_if_small(reranked(spark, sf_dir), SMALL), "chunk_id")
     return found.select(
         "query_id", "rank", "chunk_id", "content", "rerank_score", "title", "url", "department", half.alias("document_id"), F.lit(0).alias("section_index"),
         F.when(half % 2 == 0, F.concat(F.lit("Section "), half.cast("string"))).alias("parent_text"),
